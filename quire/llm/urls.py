@@ -23,8 +23,8 @@ BUCKETS, SIZES = 4096, (3, 4)
 MAX_ROWS = 2000
 
 #: The default labelled table: words of hosts and paths, put together by ``labelled_urls``.
-BLOCK_WORDS = ["adult", "porn", "xxx", "sex", "nude", "escort", "casino", "poker", "betting", "slots", "jackpot", "viagra", "pills", "cheap-meds", "warez", "crack", "torrent", "keygen", "phish", "malware", "spam", "clickbait", "loan", "payday", "replica", "hookup"]
-ALLOW_WORDS = ["news", "library", "school", "museum", "university", "weather", "garden", "recipes", "science", "history", "docs", "forum", "blog", "wiki", "health", "sports", "travel", "music", "books", "code", "research", "archive", "city", "photos", "journal", "market"]
+BLOCK_WORDS = ["adult", "porn", "xxx", "sex", "nude", "escort", "casino", "poker", "betting", "slots", "jackpot", "viagra", "pills", "cheap-meds", "warez", "crack", "torrent", "keygen", "phish", "malware", "spam", "clickbait", "loan", "payday", "replica", "hookup", "ads", "adserver", "tracker", "banner-farm"]
+ALLOW_WORDS = ["news", "library", "school", "museum", "university", "weather", "garden", "recipes", "science", "history", "docs", "forum", "blog", "wiki", "health", "sports", "travel", "music", "books", "code", "research", "archive", "city", "photos", "journal", "market", "therein", "another", "station", "nation", "eating", "handle", "north", "street", "water", "theatre", "motion", "thunder", "hearth", "father", "winter", "ration", "stable", "enable", "orange", "letter"]
 FORMS = ["https://{w}-x.example.com/en/1{n}", "http://www.{w}.example.org/de/2{n}.html", "https://m.{w}{n}.test/page?ref=x", "http://blog.some{w}.example.com/fr/3{n}#top", "https://site{n}.example.com/{w}/index.html"]
 
 
@@ -50,13 +50,12 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _grams(text: Column, kind: str, sizes=SIZES) -> Column:
     """The n-grams of kind + text between markers, each led by its kind."""
     chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    return F.concat(*[
-        F.transform(
-            F.filter(F.transform(chars, lambda _, i, n=n: F.slice(chars, i + 1, n)), lambda g, n=n: F.size(g) == n),
-            lambda g: F.concat(F.lit(kind), F.array_join(g, "")),
-        )
-        for n in sizes
-    ])
+
+    def of(n: int) -> Column:
+        whole = F.filter(F.transform(chars, lambda _, i: F.slice(chars, i + 1, n)), lambda g: F.size(g) == n)
+        return F.transform(whole, lambda g: F.concat(F.lit(kind), F.array_join(g, "")))
+
+    return F.concat(*map(of, sizes))
 
 
 def features(host: Column, path: Column, buckets: int = BUCKETS, sizes=SIZES) -> Column:
@@ -85,7 +84,7 @@ class UrlModel:
         return F.lit(self.bias) + total / F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, sizes=SIZES, steps: int = 300, rate: float = 4.0, decay: float = 1e-3) -> UrlModel:
+def train(labelled: DataFrame, buckets: int = BUCKETS, sizes=SIZES, steps: int = 100, rate: float = 16.0, bias_rate: float = 2.0, decay: float = 1e-4) -> UrlModel:
     """Fit to (url, blocked) rows, of which there may be MAX_ROWS; rows with a null label are left out.
 
     The regression has one coefficient for each row a; its scores are K a + b with K the rows' Gram matrix, so each of
@@ -100,7 +99,8 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, sizes=SIZES, steps: int =
     if not n:
         return UrlModel([0.0] * buckets, 0.0, tuple(sizes))
     gram = F.transform("x", lambda a: F.transform("x", lambda b: F.size(F.array_intersect(a["f"], b["f"])) / F.sqrt(F.size(a["f"]).cast("double") * F.size(b["f"]))))
-    base = every.select("x", gram.alias("k"), F.transform("x", lambda a: a["y"]).alias("y"))
+    # The exchange keeps the optimiser from putting the matrix's expression into every step.
+    base = every.select("x", gram.alias("k"), F.transform("x", lambda a: a["y"]).alias("y")).repartition(1)
     zero = F.struct(F.array_repeat(F.lit(0.0), n).alias("a"), F.lit(0.0).alias("b"))
 
     # The errors are needed twice in a step; a one-element array holds them so that they are computed once.
@@ -110,7 +110,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, sizes=SIZES, steps: int =
         return F.element_at(
             F.transform(F.array(off), lambda d: F.struct(
                 F.zip_with(state["a"], d, lambda a, e: a * (1 - rate * decay) - e * (rate / n)).alias("a"),
-                (state["b"] - F.aggregate(d, F.lit(0.0), lambda s, e: s + e) * (rate / n)).alias("b"))), 1)
+                (state["b"] - F.aggregate(d, F.lit(0.0), lambda s, e: s + e) * (bias_rate / n)).alias("b"))), 1)
 
     fitted = base.select("x", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), zero, step).alias("m"))
     summed = (
