@@ -31,7 +31,9 @@ LEXICON = [
     "fucker", "motherfucker", "braindead", "lowlife", "scumbag", "dipshit", "jackass", "degenerate", "subhuman", "parasite", "garbage",
 ]
 #: Labelled rows in the sample; lengths of stems; candidates and voters at most; share of toxic texts that a candidate has at least.
-SAMPLE, STEMS, CANDIDATES, VOTERS, PURE = 20_000, range(3, 9), 4000, 400, 0.9
+SAMPLE, STEMS, CANDIDATES, VOTERS, PURE = 20_000, range(3, 9), 30_000, 400, 0.9
+#: Distinct stems that a worker counts before it passes them on.
+HELD = 100_000
 #: Accuracy that the labels have as a voter; residual correlation from which voters share a vote.
 GOLD, TIED = 0.98, 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -42,27 +44,27 @@ def stems_of(text: str) -> set[str]:
     return {w[:k] for w in words for k in STEMS if len(w) >= k}
 
 
-def _count_stems(rows: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): distinct texts of either label that have the stem, summed before the shuffle."""
+def _count_stems(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """(stem, n): texts that have each stem (of those wanted), summed before the shuffle; at the empty stem, what all texts have in sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            keys = sorted(counts[0].keys() | counts[1].keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], ["stem", "toxic", "clean"])
-            counts[0].clear()
-            counts[1].clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["stem", "n"])
+            counts.clear()
             return batch
 
         for batch in batches:
-            for raw, y in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist()):
-                counts[y].update(stems_of(raw.decode("utf-8", "replace")))
-                if len(counts[0]) + len(counts[1]) > 500_000:
+            for raw in raw_texts(batch.column(0)):
+                found = stems_of(raw.decode("utf-8", "replace"))
+                counts[""] += len(found)
+                counts.update(found if wanted is None else found & wanted)
+                if len(counts) > HELD:
                     yield out()
         yield out()
 
-    return rows.select("text", "y").mapInArrow(run, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 class Matcher:
@@ -121,7 +123,7 @@ def cover(votes: list[list[int]], y: np.ndarray, n: int, most: int = VOTERS, gai
 
 
 def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of each row, share of each voter's vote) from distinct vote patterns with their labels and counts."""
+    """(posterior of each row, posterior of a row without label where one voter alone fires) from distinct vote patterns with their labels and counts."""
     n, m = votes.shape
     p = np.where(gold > 0, GOLD, 1 - GOLD)
     share = np.ones(m)
@@ -140,7 +142,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rounds:
         on, off = np.log(rate1 / rate0) * share, np.log((1 - rate1) / (1 - rate0)) * share
         odds = prior + votes @ on + (1 - votes) @ off + np.where(gold > 0, 1, -1) * math.log(GOLD / (1 - GOLD))
         p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return p, share
+    alone = prior + off.sum() + on - off
+    return p, 1 / (1 + np.exp(-np.clip(alone, -500, 500)))
 
 
 def logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, decay: float = 0.02, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -165,11 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     rows = written(training_rows(docs, labels, label, folds, held, sample, **names).dropDuplicates(["text", "y"]), "sample")
     size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     base = min(0.5, max(1e-3, size.get(1, 0) / max(1, sum(size.values()))))
-    counts = written(_count_stems(rows), "stems")
-    # So many texts that no stem of as many would be pure by chance.
-    least = max(3, math.ceil(math.log(20 * max(20, counts.count())) / -math.log(base)))
-    pure = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean"))))
-    mined = [r["stem"] for r in pure.orderBy(F.col("toxic").desc(), F.length("stem"), "stem").limit(CANDIDATES).collect()]
+    toxic = written(_count_stems(rows.filter("y = 1")), "toxic")
+    first = toxic.filter("stem <> '' and n >= 3").orderBy(F.col("n").desc(), F.length("stem"), "stem").limit(CANDIDATES).collect()
+    others = _count_stems(rows.filter("y = 0"), frozenset(r["stem"] for r in first)).collect()  # a row a candidate
+    clean = {r["stem"]: r["n"] for r in others}
+    total = clean.get("", 0) + sum(r["n"] for r in toxic.filter("stem = ''").collect())
+    # So many texts that, of all stems in as many (total / t at most), less than half a one is in toxic texts alone by chance.
+    least = next((t for t in range(3, 60) if total / t * base**t < 0.5), 60)
+    mined = [r["stem"] for r in first if r["n"] >= least and r["n"] >= PURE * (r["n"] + clean.get(r["stem"], 0))]
     stems = mined + [s for s in LEXICON if s not in set(mined)]
 
     @F.arrow_udf("array<int>")
@@ -192,9 +198,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     for i, (v, _) in enumerate(patterns):
         x[i, list(v)] = 1
     gold, weight = np.array([g for _, g in patterns], float), np.array(list(patterns.values()), float)
-    posterior, _ = label_model(x, gold, weight)
+    posterior, alone = label_model(x, gold, weight)
     seen = (weight[:, None] * x).sum(0) > 0
-    weights, bias = logistic(x, posterior, weight)
+    single = np.eye(len(kept))[seen]
+    weights, bias = logistic(np.vstack([x, single]), np.concatenate([posterior, alone[seen]]), np.concatenate([weight, np.full(len(single), 3.0)]))
     if seen.any() and (~seen).any():  # a lexicon voter that the sample has no case of speaks as the lexicon does on average
         lexicon = np.arange(len(kept)) < len(fixed)
         usual = weights[seen & lexicon].mean() if (seen & lexicon).any() else 3.0
