@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, quality, simhash, tokens, toxicity, urls, warc
+from quire.llm import bpe, decontaminate, html, quality, simhash, tokens, toxicity, urls, warc
 from quire.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.stored(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
+    "op5_html": op5_html,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
