@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, html, quality, simhash, tokens, toxicity, urls, warc
+from quire.llm import ann, bpe, decontaminate, html, quality, simhash, tokens, toxicity, urls, warc
 from quire.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
+    "op9_neighbours": op9_neighbours,
     "op10_quality": op10_quality,
 }
 
