@@ -149,9 +149,9 @@ def documents(files: DataFrame, separator: int = SEPARATOR, width: int = 2, bloc
     stop = F.col("base") + F.col("n_tokens")
     tail = (F.col("block") == F.col("final")) & (F.element_at(starts, -1) < stop)
     ends = F.when(tail, F.concat(at, F.array(stop))).otherwise(at)
-    rows = known.select("file", "first", "base", "n_tokens", starts.alias("starts"), F.size("ends").alias("n_ends"), F.posexplode(ends).alias("i", "end"))
-    start = F.element_at("starts", F.col("i") + 1)
-    return rows.select("file", (F.col("first") + F.col("i")).alias("nth"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("i") < F.col("n_ends")).alias("ended"))
+    pairs = F.zip_with(F.slice(starts, 1, F.size(ends)), ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+    rows = known.select("file", "first", F.size("ends").alias("n_ends"), F.posexplode(pairs).alias("i", "d"))
+    return rows.select("file", (F.col("first") + F.col("i")).alias("nth"), "d.start", (F.col("d.end") - F.col("d.start")).alias("n_tokens"), (F.col("i") < F.col("n_ends")).alias("ended"))
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
