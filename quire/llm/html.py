@@ -264,7 +264,7 @@ def _prose(rng: random.Random, words: int) -> str:
     return " ".join(out)
 
 
-def sample_pages(count: int = 500, seed: int = 7) -> Iterator[str]:
+def sample_pages(count: int = 900, seed: int = 7) -> Iterator[str]:
     """Pages from templates; data-part on a region says whether it is of the main text."""
     for number in range(count):
         rng = random.Random(f"{seed}-{number}")
@@ -300,11 +300,11 @@ def sample_pages(count: int = 500, seed: int = 7) -> Iterator[str]:
         def share(rng=rng) -> str:
             return box("rest", ["share", "social-links", "tags", "breadcrumb"], ["div", "ul", "nav"], links(rng.randint(2, 5)))
 
-        body = [f"<h1>{_prose(rng, rng.randint(3, 12))}</h1>"] if rng.random() < 0.9 else []
+        body = [f"<h1>{_prose(rng, rng.randint(1, 12))}</h1>"] if rng.random() < 0.9 else []
         if body and rng.random() < 0.15:
             body = [f"<header>{body[0]}</header>"]
-        for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14])):
-            kind, words = rng.random(), rng.choice([3, 8, 20, 40, 90, 160])
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8, 14])):
+            kind, words = rng.random(), rng.choice([1, 2, 4, 8, 20, 40, 90, 160])
             if kind < 0.72:
                 body.append(f"<p>{_prose(rng, words)}" + ("</p>" if rng.random() < 0.9 else ""))
             elif kind < 0.8:
@@ -321,6 +321,9 @@ def sample_pages(count: int = 500, seed: int = 7) -> Iterator[str]:
                 body.append("<table>" + "".join(f"<tr><td>{_prose(rng, 2)}</td><td>{_prose(rng, 3)}</td></tr>" for _ in range(3)) + "</table>")
             else:
                 body.append(f'<p>{_prose(rng, words)} <a href="/x">{_prose(rng, 2)}</a> {_prose(rng, words)}</p>')
+        if rng.random() < 0.15:  # hardly more than a title
+            words = _prose(rng, rng.randint(1, 8))
+            body = [f"<h1>{words}</h1>", rng.choice([f"<p>{words}</p>", f"<p><b>{words}<br>", f"<p>{_prose(rng, rng.randint(1, 4))}"])]
         for extra in (ad, notice, share, side, form, talk):
             if rng.random() < 0.15:
                 body.insert(rng.randint(1, len(body)), extra())
@@ -339,7 +342,7 @@ def sample_pages(count: int = 500, seed: int = 7) -> Iterator[str]:
 
 
 @functools.lru_cache(maxsize=1)
-def train(count: int = 500, seed: int = 7) -> Trees:
+def train(count: int = 900, seed: int = 7) -> Trees:
     """Trees fitted on the nodes of made pages. A node counts as main text if any text in or below it is."""
     xs, ys = [], []
     for page in sample_pages(count, seed):
