@@ -7,20 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Rows = list[dict]
 
 
 def per_page(df: DataFrame, kernel: Callable[[Rows], Rows], schema: str, page: str = "page_id") -> DataFrame:
     """kernel on each page's rows; a page is gathered in one task, so a page bounds memory."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    kind = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(kernel(frame.to_dict("records")), columns=names)
+    def run(rows: pa.Table) -> pa.Table:
+        out = kernel(rows.to_pylist())
+        return pa.Table.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in kind], schema=kind)
 
-    return df.groupBy(page).applyInPandas(run, schema)
+    return df.groupBy(page).applyInArrow(run, schema)
 
 
 def iou(a: dict, b: dict, eps: float = 0.0, mode: str = "union") -> float:
