@@ -92,8 +92,9 @@ def locality_nms(rows: Rows, most: float = 0.3) -> Rows:
         if merged and iou(merged[-1], r) > most:
             a = merged[-1]
             total = a["score"] + r["score"]
+            mine = a["score"] / total if total else 0.5
             for c in ("x0", "y0", "x1", "y1"):
-                a[c] = (a[c] * a["score"] + r[c] * r["score"]) / total
+                a[c] = a[c] * mine + r[c] * (1 - mine)
             a["score"] = total
         else:
             merged.append(dict(r))
