@@ -321,8 +321,8 @@ def sample_pages(count: int = 900, seed: int = 7) -> Iterator[str]:
                 body.append("<table>" + "".join(f"<tr><td>{_prose(rng, 2)}</td><td>{_prose(rng, 3)}</td></tr>" for _ in range(3)) + "</table>")
             else:
                 body.append(f'<p>{_prose(rng, words)} <a href="/x">{_prose(rng, 2)}</a> {_prose(rng, words)}</p>')
-        if rng.random() < 0.15:  # hardly more than a title
-            words = _prose(rng, rng.randint(1, 8))
+        if rng.random() < 0.3:  # hardly more than a title
+            words = _prose(rng, rng.choice([1, 2, 2, 3, 4, 6, 9]))
             body = [f"<h1>{words}</h1>", rng.choice([f"<p>{words}</p>", f"<p><b>{words}<br>", f"<p>{_prose(rng, rng.randint(1, 4))}"])]
         for extra in (ad, notice, share, side, form, talk):
             if rng.random() < 0.15:
