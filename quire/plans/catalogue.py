@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.functions import sequences, text
-from quire.operators import documents, joins, kernels, metrics, sampling, windows
+from quire.operators import documents, joins, kernels, layout, metrics, sampling, windows
 from quire.plans import relations as rel
 from quire.plans.relations import AREA_A, AREA_B, CENTRE, INTER, IOU, TOUCH, with_sql
 from quire.sources import labels
@@ -613,3 +613,44 @@ def event_windows(spark, d):
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, d):
     return jobs.sessions(rel.read(spark, d, "events"))
+
+
+# Layout
+
+
+@query("""WITH t AS (SELECT doc_id, string_split(text, ' ') w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, len(w), 64)) s FROM t)
+SELECT doc_id, CAST(s AS INTEGER) AS start, CAST(len(w[s + 1:s + 64]) AS INTEGER) AS size, w[s + 1] AS head FROM c""")
+def token_chunks(spark, d):
+    rows = rel.read(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
+    return layout.token_chunks(rows, "w", 64).select("doc_id", "start", F.size("chunk").alias("size"), F.get("chunk", F.lit(0)).alias("head"))
+
+
+@query(with_sql("boxes") + """, m AS (SELECT page_id, h AS med FROM (SELECT page_id, y1 - y0 h, row_number() OVER (PARTITION BY page_id ORDER BY y1 - y0) r, count(*) OVER (PARTITION BY page_id) n FROM boxes WHERE y1 - y0 > 0) WHERE r = n // 2 + 1),
+k AS (SELECT b.page_id, box_id, med, x0, x1 - x0 w, length(text) n, (y1 - y0) / med q, [0.8, 1.0, 1.45, 1.9, 2.4] rungs FROM boxes b JOIN m USING (page_id))
+SELECT page_id, box_id, round(least(med * list_sort(list_transform(rungs, lambda r: {'far': abs(CAST(r AS DOUBLE) - q), 'rung': CAST(r AS DOUBLE)}))[1].rung, w / (n * CAST(0.34 AS DOUBLE))), 6) font, round_even(x0 / 9.0, 0) * 9 AS indent FROM k""")
+def font_sizes(spark, d):
+    rows = rel.boxes(spark, d)
+    both = rows.join(metrics.upper_median(rows, "page_id", F.col("y1") - F.col("y0")), "page_id")
+    size = layout.font_size(F.col("y1") - F.col("y0"), F.col("median"), F.col("x1") - F.col("x0"), F.length("text"))
+    return both.select("page_id", "box_id", F.round(size, 6).alias("font"), layout.indent(F.col("x0")).alias("indent"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN strftime(DATE '1899-12-30' + CAST(p_size * 900 AS INTEGER), '%Y-%m-%d') ELSE CAST(p_size AS VARCHAR) END AS shown FROM part")
+def excel_dates(spark, d):
+    even = F.col("p_size") % 2 == 0
+    return rel.read(spark, d, "part").select("p_partkey", layout.excel_date(F.when(even, F.col("p_size") * 900).otherwise(F.col("p_size")), F.when(even, "YYYY-MM").otherwise("0.00")).alias("shown"))
+
+
+@query("""WITH s AS (SELECT CAST(p_partkey AS BIGINT) p_partkey, 600 + p_size * 20 w, 400 + p_size * 10 h FROM part)
+SELECT p_partkey, CAST(y AS INTEGER) tile_y, CAST(x AS INTEGER) tile_x FROM (SELECT p_partkey, w, unnest(range(0, greatest(h - 320 + 256, 256), 256)) y FROM s), LATERAL (SELECT unnest(range(0, greatest(w - 320 + 256, 256), 256)) x)""")
+def image_tiles(spark, d):
+    rows = rel.read(spark, d, "part").select("p_partkey", (600 + F.col("p_size") * 20).alias("w"), (400 + F.col("p_size") * 10).alias("h"))
+    return layout.tiles(rows, "w", "h", 320, 256).select("p_partkey", "tile_y", "tile_x")
+
+
+@query()
+def bilingual_merge(spark, d):
+    """Two readings of each turn: one with Arabic words put in on every second."""
+    rows = rel.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.substring("text", 1, 40).alias("text"), ((F.col("turn") % 4) / 4).alias("score"))
+    other = rows.filter("line_no % 3 <> 0").withColumn("text", F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("سلام "), F.substring("text", 1, 10))).otherwise(F.col("text")))
+    return layout.merge_bilingual(other.withColumn("score", F.lit(0.4)), rows)
