@@ -70,4 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # Base 32 by groups of five hexadecimal digits, four letters each.
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p),
+g AS (SELECT *, list_transform(range(8), lambda i: CAST('0x' || substring(d, CAST(i * 5 + 1 AS BIGINT), 5) AS INTEGER)) AS v FROM m)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0], lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> k) & 31) + 1, 1)), '')), '') AS payload_digest,
+CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM g""",
+}
