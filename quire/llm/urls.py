@@ -66,8 +66,12 @@ def features(host: Column, path: Column, buckets: int = BUCKETS, sizes=SIZES) ->
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The default training table (url, blocked 0/1)."""
-    rows = [(f.format(w=w, n=i), label) for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for i, w in enumerate(words) for f in FORMS]
-    return spark.createDataFrame(rows, "url string, blocked int")
+    def words(given: list[str], label: int) -> Column:
+        return F.transform(F.array(*map(F.lit, given)), lambda w, i: F.struct(w.alias("w"), i.cast("string").alias("n"), F.lit(label).alias("blocked")))
+
+    each = spark.range(1).select(F.explode(F.concat(words(BLOCK_WORDS, 1), words(ALLOW_WORDS, 0))).alias("r"))
+    shaped = each.select("r.*", F.explode(F.array(*map(F.lit, FORMS))).alias("form"))
+    return shaped.select(F.replace(F.replace("form", F.lit("{w}"), F.col("w")), F.lit("{n}"), F.col("n")).alias("url"), "blocked")
 
 
 @dataclass(frozen=True)
