@@ -54,9 +54,9 @@ def test_recall(spark):
 def test_searches_go_on_until_all_kept_are_expanded(spark):
     angles = np.linspace(0, 3, 40)
     points = ann.nodes_of(spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)], "id long, vec array<float>"), "id", "vec", 6)
-    points = points.select("node", ann.small().alias("small"))
+    points = points.select("node", ann.packed().alias("packed"))
     graph = spark.createDataFrame([(i, [j for j in (i - 2, i - 1, i + 1, i + 2) if 0 <= j < 40]) for i in range(40)], "node long, ids array<long>")
-    graph = graph.select("node", "ids", F.transform("ids", lambda _: F.lit(0.9).cast("float")).alias("sims"))
+    graph = graph.select("node", "ids", F.transform("ids", lambda _: F.lit(0.9)).alias("sims"))
     # Two steps a round lead from one end to the other: 20 rounds, and one that finds nothing open.
     found = ann.greedy(points.filter("node = 0"), graph, points).first()["ids"]
     assert sorted(found) == list(range(40))
@@ -66,9 +66,9 @@ def test_descent_goes_on_until_lists_settle(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = rng.standard_normal((600, 4)).astype(np.float32)
     nodes = ann.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, vec array<float>"), "id", "vec", 6)
-    points = nodes.select("node", ann.small().alias("small"))
+    points = nodes.select("node", ann.packed().alias("packed"))
     # Each node starts with the next one only: lists of K take more than three rounds to be the nearest.
-    monkeypatch.setattr(ann, "start", lambda points, count: points.select("node", F.array((F.col("node") + 1) % 600).alias("ids"), F.array(F.lit(-1.0).cast("float")).alias("sims")))
+    monkeypatch.setattr(ann, "start", lambda points, count: points.select("node", F.array((F.col("node") + 1) % 600).alias("ids"), F.array(F.lit(-1.0)).alias("sims")))
     got = {r["node"]: set(r["ids"]) for r in ann.neighbour_graph(points).collect()}
     x = ann.unit(rows)
     sims = x @ x.T
@@ -79,3 +79,13 @@ def test_descent_goes_on_until_lists_settle(spark, monkeypatch):
 
 def test_width_grows_with_the_nodes():
     assert ann.width_for(10_000) == ann.WIDTH and ann.width_for(500_000) == 5000
+
+
+def test_near_copies_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    copies = rng.standard_normal(64) + 0.001 * rng.standard_normal((1200, 64))
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(np.r_[copies, rng.standard_normal((600, 64))].astype(np.float32))]
+    got, expected = found(spark, rows), brute([r[:2] for r in rows])
+    among = [q for q in expected if q < 1200]
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in among)
+    assert hits / (5 * len(among)) >= 0.9
