@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontaminate, quality, simhash, toxicity
+from quire.llm import bpe, decontaminate, quality, shingles, simhash, toxicity
 from quire.llm.common import table, written
 
 
@@ -24,10 +24,15 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
+    """Of each group of near-duplicates by op8's fingerprints, the document with the smallest id."""
     return simhash.keep_one(docs)
 
 
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents whose shingles of five words have a similarity of 0.8 or more, the one with the smallest id."""
+    return shingles.keep_one(docs)
+
+
 def fair(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without copies of benchmark items."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -43,6 +48,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", clean),
     ("near duplicates", distinct),
     ("benchmark", fair),
+    ("similar shingles", unlike),
     ("tokens", tokenised),
 ]
 

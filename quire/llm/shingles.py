@@ -1,0 +1,86 @@
+"""Near-duplicates by word shingles: candidates by banded minimal hashes, verified by exact Jaccard similarity.
+
+A pair of the least similarity, 0.8, meets in at least one of 20 bands of 5 minimal hashes with a chance of 0.9996, and
+closer pairs with a higher one. No list is cut: first all members of a list are compared with its least id, then all
+pairs of members that this left in different components, so a large group of copies costs pairs in proportion to it.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm.common import fresh, raw_texts, text_of, written
+from quire.llm.components import connected_components
+
+SEED, WORDS, PERCENT = 42, 5, 80
+BANDS, ROWS = 20, 5
+
+
+def shingles_of(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, sorted; a text of fewer words is one shingle, one without words has none."""
+    parts = text.lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = [0, *(ends[:-words] + 1).tolist()] if len(parts) > words else [0]
+    last = ends[words - 1 :].tolist() if len(parts) > words else [len(joined)]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last)], np.uint64))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """The key of each band; none of a text without shingles."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    rng = np.random.default_rng(SEED)
+    times, plus, mix = rng.integers(0, np.iinfo(np.uint64).max, (3, BANDS * ROWS), np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        least = np.minimum(least, (shingles[at : at + 4096, None] * (times | np.uint64(1)) + plus).min(0))
+    return (least * (mix | np.uint64(1))).reshape(BANDS, ROWS).sum(1, dtype=np.uint64)
+
+
+def _longs(text: Column, made) -> Column:
+    @F.arrow_udf("array<long>")
+    def listed(texts: pa.Array) -> pa.Array:
+        return pa.array([made(t).view(np.int64) for t in raw_texts(texts)], pa.list_(pa.int64()))
+
+    return listed(text_of(text))
+
+
+def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those pairs (u, v) of ids of rows (id, text) whose shingles are similar enough."""
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = written(rows.join(ids, "id", "left_semi").select("id", _longs(F.col("text"), shingles_of).alias("s")), "shingles")
+    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.withColumn("n", shared).filter(100 * F.col("n") >= PERCENT * (F.size("a") + F.size("b") - F.col("n"))).select("u", "v").distinct()
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, component) of the ids of docs that have a near-duplicate; component: the least id reachable."""
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text"))
+    keys = F.posexplode(_longs(F.col("text"), lambda t: bands_of(shingles_of(t)))).alias("band", "key")
+    filed = written(rows.select("id", keys), "bands")
+    heads = filed.groupBy("band", "key").agg(F.min("id").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    lists = written(filed.join(heads, ["band", "key"]), "lists")
+    first = written(lists.filter("u <> id").select("u", F.col("id").alias("v")).distinct(), "pairs")
+    edges = written(verified(first, rows), "edges")
+    found = connected_components(edges)
+    marked = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = marked.groupBy("band", "key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("band", "key")
+    open_ = written(marked.join(mixed, ["band", "key"]), "open")
+    a, b = open_.select("band", "key", F.col("id").alias("u"), F.col("c").alias("cu")), open_.select("band", "key", F.col("id").alias("v"), F.col("c").alias("cv"))
+    rest = written(a.join(b, ["band", "key"]).filter("u < v and cu <> cv").select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "pairs")
+    return connected_components(edges.unionByName(verified(rest, rows)))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those of which a near-duplicate with a smaller id is there; rows with a null id all stay."""
+    mark = fresh(docs.columns, "gone_id")
+    gone = components(docs, doc_id, text).filter("node <> component").select(F.col("node").alias(mark))
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(mark), "left_anti")

@@ -1,0 +1,41 @@
+import random
+
+import corpus_pipeline
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_keeps_one_of_similar_documents(spark):
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for _ in range(25):
+        base = rng.choices(words, k=rng.randint(30, 400))
+        for _ in range(rng.randint(1, 4)):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append(" ".join(text))
+    crowd = rng.choices(words, k=200)
+    rows += [" ".join(crowd[:i] + ["new"] + crowd[i + 1 :]) for i in range(0, 200, 2)]
+    rows += ["", "one two", "One  two", "three"]
+    sets = [shingles(t) for t in rows]
+    least = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if least[b] < least[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0:
+                    least[a], changed = least[b], True
+    docs = spark.createDataFrame([*enumerate(rows), (None, rows[0])], "doc_id long, text string")
+    stages = [s for n, s in corpus_pipeline.STAGES if n in ("near duplicates", "similar shingles")]
+    out = docs
+    for stage in stages:
+        out = stage(spark, out, "")
+    kept = {r["doc_id"] for r in out.collect()}
+    assert out.columns == docs.columns and None in kept
+    assert kept - {None} == set(least)
