@@ -63,7 +63,7 @@ def ws_squash(spark, d):
 
 @query()
 def script_text(spark, d):
-    mixed = F.concat(F.substring("text", 1, 20), F.lit("سلام"), F.substring("text", 21, 20), F.lit(" مرحبا  بك"))
+    mixed = F.concat(F.substring("text", 1, 20), F.lit("سلام"), F.expr("substring(text, 21)"), F.lit(" مرحبا  بك"))
     return rel.read(spark, d, "documents").select("doc_id", text.script_spaces(mixed).alias("spaced"), text.is_rtl(mixed).alias("rtl"), text.visual_order(mixed).alias("visual"), text.squeeze_spaces(mixed).alias("squeezed"))
 
 
@@ -113,7 +113,7 @@ def word_groups(spark, d):
     def grouped(line):
         return documents.word_groups(line)
 
-    return rel.lines(spark, d).select("doc_id", "line_no", F.transform(grouped(F.substring("line", 1, 300)), lambda w: F.concat(w["word"], F.lit("/"), w["kind"])).alias("words")).select("doc_id", "line_no", F.array_join("words", " ").alias("words"))
+    return rel.lines(spark, d).select("doc_id", "line_no", F.transform(grouped("line"), lambda w: F.concat(w["word"], F.lit("/"), w["kind"])).alias("words")).select("doc_id", "line_no", F.array_join("words", " ").alias("words"))
 
 
 @query("""WITH d AS (SELECT d.*, l.quality FROM documents d JOIN labels l USING (doc_id)), p AS (SELECT lang, quality, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END guess FROM d)
@@ -151,7 +151,7 @@ def bleu(spark, d):
 
 @query()
 def tokenize_13a(spark, d):
-    return rel.pairs(spark, d).select("doc_id", F.array_join(metrics.tokens_13a(F.col("target")), " ").alias("tokens"))
+    return rel.read(spark, d, "documents").select("doc_id", F.array_join(metrics.tokens_13a(F.col("text")), " ").alias("tokens"))
 
 
 @query()
@@ -546,7 +546,7 @@ def envelope_check(spark, d):
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'url' WHEN page_id % 4 = 1 THEN 'base64' WHEN page_id % 4 = 2 THEN 'path' ELSE 'relative' END kind FROM pages")
 def input_kind(spark, d):
-    value = F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.base64(F.substring("html", 1, 60).cast("binary"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("/data/"), "page_id")).otherwise(F.lit("a/b.png"))
+    value = F.when(F.col("page_id") % 4 == 0, F.col("url")).when(F.col("page_id") % 4 == 1, F.base64(F.col("html").cast("binary"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("/data/"), "page_id")).otherwise(F.lit("a/b.png"))
     return rel.read(spark, d, "pages").select("page_id", labels.input_kind(F.regexp_replace(value, r"\s", "")).alias("kind"))
 
 
@@ -651,6 +651,6 @@ def image_tiles(spark, d):
 @query()
 def bilingual_merge(spark, d):
     """Two readings of each turn: one with Arabic words put in on every second."""
-    rows = rel.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.substring("text", 1, 40).alias("text"), ((F.col("turn") % 4) / 4).alias("score"))
-    other = rows.filter("line_no % 3 <> 0").withColumn("text", F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("سلام "), F.substring("text", 1, 10))).otherwise(F.col("text")))
+    rows = rel.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.col("text"), ((F.col("turn") % 4) / 4).alias("score"))
+    other = rows.filter("line_no % 3 <> 0").withColumn("text", F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("سلام "), F.col("text"))).otherwise(F.col("text")))
     return layout.merge_bilingual(other.withColumn("score", F.lit(0.4)), rows)
