@@ -67,9 +67,19 @@ def camel(name: str) -> str:
 
 
 def edit_distance(a: list, b: list) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Levenshtein distance; a row of its table is held as two integers with a bit an item (Hyyrö), so long lists are no burden."""
+    if not a or a == b:
+        return 0 if a == b else len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, far = every, 0, len(a)
+    for y in b:
+        same = places.get(y, 0)
+        tall, wide = same | down, (((same & up) + up) ^ up) | same
+        more, less = down | ~(wide | up) & every, up & wide
+        far += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & every, less << 1 & every
+        up, down = less | ~(tall | more) & every, more & tall
+    return far

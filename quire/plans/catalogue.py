@@ -131,9 +131,9 @@ s AS (SELECT f.lang, f.k AS size, CAST(sum(f.c) AS BIGINT) total, CAST(sum(least
 """
 
 
-def _word_pairs(spark, d):
+def _word_pairs(spark, d, length=200):
     words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "[^0-9A-Za-z ]", "")), " "), lambda x: x != "")
-    return rel.pairs(spark, d).select("lang", "doc_id", words("target").alias("a"), words("found").alias("b"))
+    return rel.pairs(spark, d, length).select("lang", "doc_id", words("target").alias("a"), words("found").alias("b"))
 
 
 @query(_GRAMS + "SELECT lang, CAST(size AS INTEGER) size, total, clipped FROM s")
@@ -160,7 +160,7 @@ def word_edit(spark, d):
     def far(a, b):
         return text.edit_distance(a, b)
 
-    return _word_pairs(spark, d).select("doc_id", far("a", "b").alias("edits"))
+    return _word_pairs(spark, d, None).select("doc_id", far("a", "b").alias("edits"))
 
 
 # Sampling and batches

@@ -64,8 +64,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.substring("text", 1, 200)
+def pairs(spark: SparkSession, sf_dir: str, length: int | None = 200) -> DataFrame:
+    """Texts and misread ones; of whole documents if length is None."""
+    start = F.substring("text", 1, length) if length else F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", "lang", start.alias("target"), F.when(F.col("doc_id") % 3 == 0, F.translate(start, "lO", "10")).otherwise(start).alias("found"))
 
 
