@@ -17,18 +17,20 @@ _made: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share, as a full URI.
 
-    Where it is unset, a local session gets a temporary folder of its own; a cluster without the setting is refused.
+    A path without a scheme is one of the cluster's default file system. Where the setting is missing, a local session
+    gets a temporary folder of its own; a cluster without it is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = tempfile.mkdtemp(prefix="quire-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quire-")
+        context.setCheckpointDir(root)
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -112,5 +114,23 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
+#: Bytes up to which a written table is broadcast, and parts that a key is split into where it is not.
+SMALL, SALTS = 32 << 20, 16
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes that the plan of a table read from files says it has."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def joined_small(big: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+    """The equi-join of big with a written table: broadcast if that is SMALL, else with each key dealt into SALTS parts by big's column spread, as a key may hold a third of big."""
+    if stored_bytes(small) <= SMALL:
+        return big.join(F.broadcast(small), key)
+    salt = fresh([*big.columns, *small.columns], "salt")
+    parts = small.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(parts, [key, salt]).drop(salt)
+
+
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()

@@ -1,223 +1,340 @@
-"""Benchmark decontamination: rare n-gram seeds lead to passages, Smith-Waterman alignments of words score them.
+"""Benchmark decontamination: rare word pairs lead from documents to items, Smith-Waterman alignments of words score the passages.
 
-The benchmark is taken in blocks of bounded size (as many as it needs), each of which goes to the executors whole, so
-documents are never shuffled. A first pass over all documents counts in how many of them each n-gram of the block
-stands. Of any ``WINDOW`` n-grams in a row of an item, the rarest is a seed, so every stretch of WINDOW + N - 1 words
-that a document shares with an item holds a seed, however often it is copied. A second pass joins documents to items
-on seeds and aligns the passage around them with the item.
+The pairs of neighbouring words of all items are one table. A first pass counts in how many documents each stands; those
+in none can lead nowhere and go. A copy that differs from an item of n words by replaced or left-out words, and still
+scores enough, shares ``guaranteed(n)`` of its pairs, so the item's commonest pairs but for one less than that many are
+not needed: the rest are its seeds, of which every such copy holds at least ``least_seeds(n)``. A second pass looks for
+seeds; only documents that hold some are written, joined with the items, and aligned where enough seeds lie near one
+diagonal. (Copies made by words put in between almost all others share no pair and aren't found.)
+
+Both passes carry a bit table of at most ``BITS`` bits, whatever the size of the benchmark; what it lets through by
+chance falls out of the join. Documents are never shuffled but those with seeds.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, raw_texts, text_of
+from quire.llm.common import fresh, joined_small, raw_texts, text_of, written
 
-N, WINDOW = 3, 3
-#: Bytes of benchmark text in a block, on average.
-BLOCK_BYTES = 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Share of an item's own score from which a passage is a copy, and words that must then match (all, if the item has fewer).
-THRESHOLD, LEAST = 0.4, 8
+#: Share of an item's own score from which a passage is a copy; words whose score is enough for a passage of a long item; words that must match (all, if the item has fewer); words of the least item.
+THRESHOLD, RUN, LEAST, N = 0.4, 40, 8, 3
+#: Bits of the table that a pass carries, at most; distinct pairs that a worker counts before it passes them on; bytes of a text hashed at once.
+BITS, HELD, PIECE = 1 << 28, 400_000, 1 << 20
 MATCHES = "array<struct<item_id:long,score:double,matched:int,start:int,end:int>>"
+_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
+_SIGNS = re.compile(r"[\W_]+")
+#: Letters of scripts that write no spaces; each is a word.
+_UNSPACED = re.compile("([฀-໿ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿])")
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse
+
+
+def plain(text: bytes) -> bytes:
+    """A text in UTF-8 in lower case, with signs taken for spaces."""
+    if text.isascii():
+        return text.lower().translate(_PLAIN)
+    return _UNSPACED.sub(r" \1 ", _SIGNS.sub(" ", text.decode("utf-8", "replace").lower())).encode()
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words of a text in UTF-8, in lower case, with ASCII signs taken for spaces."""
-    return (text if text.isascii() else text.decode("utf-8", "replace").lower().encode()).lower().translate(_PLAIN).split()
+    return plain(text).split()
+
+
+def _grow(size: int) -> None:
+    if len(_powers[0]) < size:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def hashes_of(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes, from differences of sums over the text."""
+    whole, out, at = plain(text), [], 0
+    while at < len(whole):
+        end = whole.find(b" ", at + PIECE)
+        end = len(whole) if end < 0 else end
+        b = np.frombuffer(whole, np.uint8, end - at, at)
+        _grow(len(b) + 1)
+        shown = np.zeros(len(b) + 2, np.int8)
+        shown[1:-1] = b != 32
+        turns = np.diff(shown)
+        starts, ends = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(b)], out=sums[1:])
+        out.append(_mixed((sums[ends] - sums[starts]) * _powers[1][starts]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    """The hash of each pair of neighbouring words."""
+    return _mixed(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
+
+
+def least_score(n: int) -> float:
+    """The score, in matched words, from which a passage is a copy of an item of n words."""
+    return min(THRESHOLD * n, RUN)
+
+
+def guaranteed(n: int) -> int:
+    """Pairs that a copy of an item of n words shares with it, if words were only replaced or left out.
+
+    With m words matched, e not, a score of 2m - e and at most e breaks, m - 1 - e pairs remain; the least of it is
+    where m + e = n. Longer items than that formula serves have the value of those of RUN / THRESHOLD words.
+    """
+    n = min(n, int(RUN / THRESHOLD))
+    m = max(min(LEAST, n), int(np.ceil((n + 2 * least_score(n)) / 3)))
+    return max(1, m - 1 - min(n - m, int(2 * m - 2 * least_score(n))))
+
+
+def least_seeds(n: int) -> int:
+    return min(2, guaranteed(n))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int, int]:
-    """(score, matched words, start, end) of the best local alignment of two arrays of word numbers; start and end are places in passage."""
-    n, m = len(item), len(passage)
-    if not n or not m:
-        return 0, 0, 0, 0
-    rows = np.zeros((n + 1, m + 1), np.int32)
-    place = np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        same = np.where(passage == item[i - 1], MATCH, MISMATCH)
-        best = np.zeros(m + 1, np.int32)
-        np.maximum(rows[i - 1, :-1] + same, rows[i - 1, 1:] + GAP, out=best[1:])
-        np.maximum(best, 0, out=best)
-        rows[i] = np.maximum.accumulate(best - GAP * place) + GAP * place  # a gap of any length in one step
-    i, j = np.unravel_index(int(rows.argmax()), rows.shape)
-    score, end, matched = int(rows[i, j]), int(j), 0
-    while rows[i, j]:
-        if passage[j - 1] == item[i - 1] and rows[i, j] == rows[i - 1, j - 1] + MATCH:
-            matched, i, j = matched + 1, i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j - 1] + MISMATCH:
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] + GAP:
-            i -= 1
+    """(score, matched words, start, end) of the best local alignment; start and end are places in passage.
+
+    A row of the table is held at a time, with the start and the matched words of each cell's alignment, so memory
+    grows with the passage alone.
+    """
+    m = len(passage)
+    best = (0, 0, 0, 0)
+    if not len(item) or not m:
+        return best
+    place = np.arange(m + 1)
+    score, matched, start = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), place.copy()
+    for word in item:
+        same = passage == word
+        diagonal, up = score[:-1] + np.where(same, MATCH, MISMATCH), score[1:] + GAP
+        straight = diagonal >= up
+        now, hits, begun = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64), place.copy()
+        now[1:] = np.where(straight, diagonal, up)
+        hits[1:] = np.where(straight, matched[:-1] + same, matched[1:])
+        begun[1:] = np.where(straight, start[:-1], start[1:])
+        low = now <= 0
+        now[low], hits[low], begun[low] = 0, 0, place[low]
+        level = now - GAP * place  # a gap of any length in one step
+        top = np.maximum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == top, place, 0))
+        score, matched, start = top + GAP * place, hits[source], begun[source]
+        empty = score <= 0
+        matched[empty], start[empty] = 0, place[empty]
+        j = int(score.argmax())
+        if score[j] > best[0]:
+            best = (int(score[j]), int(matched[j]), int(start[j]), j)
+    return best
+
+
+def spans_of(places: list[tuple[int, int]], n: int, need: int) -> list[tuple[int, int]]:
+    """Where a text, whose words p have the pairs q of an item of n words, may hold a copy: around seeds that lie near one diagonal."""
+    near = max(3, n // 4)
+    groups: list[list[tuple[int, int]]] = []
+    for d, p, q in sorted((p - q, p, q) for p, q in places):
+        if groups and d - groups[-1][-1][0] <= near:
+            groups[-1].append((d, q))
+        else:
+            groups.append([(d, q)])
+    out: list[tuple[int, int]] = []
+    for group in groups:
+        if len({q for _, q in group}) < need:
+            continue
+        slack = n // 2 + N
+        low, high = max(0, group[0][0] - slack), group[-1][0] + n + slack
+        if out and low <= out[-1][1] and high - out[-1][0] <= 8 * n:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
-            j -= 1
-    return score, matched, int(j), end
-
-
-@dataclass
-class Block:
-    """Items (id, words as numbers), the numbers of words, the sorted codes of n-grams, and for each the (item, place) where it is a seed."""
-
-    ids: list[int | None]
-    items: list[np.ndarray]
-    numbers: dict[bytes, int]
-    codes: np.ndarray
-    seeds: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    seed_codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    n_seeds: list[int] = field(default_factory=list)
-
-    def code(self, words: np.ndarray) -> np.ndarray:
-        """The code of the n-gram at each place; -1 where a word is none of the items'."""
-        if len(words) < N:
-            return np.zeros(0, np.int64)
-        wide, base = words.astype(np.int64), len(self.numbers)
-        out, known = np.zeros(len(words) - N + 1, np.int64), np.ones(len(words) - N + 1, bool)
-        for k in range(N):
-            part = wide[k : len(words) - N + 1 + k]
-            out = out * base + part
-            known &= part >= 0
-        return np.where(known, out, -1)
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int32, len(words))
-
-
-def make_block(rows: list[tuple[int | None, str]]) -> Block:
-    """A block of items; those with fewer than N words take no part."""
-    kept = [(i, w) for i, t in rows for w in (words_of((t or "").encode()),) if len(w) >= N]
-    numbers: dict[bytes, int] = {}
-    for _, words in kept:
-        for w in words:
-            numbers.setdefault(w, len(numbers))
-    if len(numbers) > 2_000_000:
-        raise ValueError("a block holds too many words for the codes of its n-grams")
-    block = Block([i for i, _ in kept], [], numbers, np.zeros(0, np.int64))
-    block.items = [block.numbered(w) for _, w in kept]
-    block.codes = np.unique(np.concatenate([block.code(w) for w in block.items])) if kept else block.codes
-    return block
-
-
-def choose_seeds(block: Block, frequency: np.ndarray) -> None:
-    """Of any WINDOW n-grams in a row, the one in the fewest documents is a seed (ties: the least code)."""
-    for number, words in enumerate(block.items):
-        places = np.searchsorted(block.codes, block.code(words))
-        chosen = {min(range(a, min(a + WINDOW, len(places))), key=lambda p: (frequency[places[p]], places[p])) for a in range(max(1, len(places) - WINDOW + 1))}
-        for p in sorted(chosen):
-            block.seeds.setdefault(int(block.codes[places[p]]), []).append((number, p))
-        block.n_seeds.append(len(chosen))
-    block.seed_codes = np.array(sorted(block.seeds), np.int64)
-
-
-def _known(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Places of codes that the sorted table has."""
-    if not len(table) or not len(codes):
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(codes >= 0)
-    found = np.minimum(np.searchsorted(table, codes[at]), len(table) - 1)
-    return at[table[found] == codes[at]]
-
-
-def matches_of(block: Block, text: bytes) -> list[dict]:
-    """Each item that the text holds a copy of, with the best alignment; start and end count the text's words."""
-    words = block.numbered(words_of(text))
-    codes = block.code(words)
-    hits: dict[int, list[tuple[int, int]]] = {}
-    for p in _known(codes, block.seed_codes).tolist():
-        for item, q in block.seeds[int(codes[p])]:
-            hits.setdefault(item, []).append((p, q))
-    out = []
-    for number, places in hits.items():
-        item, best = block.items[number], (0, 0, 0, 0)
-        size, need = len(item), 2 if block.n_seeds[number] >= 4 else 1
-        groups: list[list[tuple[int, int]]] = []
-        for p, q in places:
-            if groups and p - groups[-1][-1][0] <= size:
-                groups[-1].append((p, q))
-            else:
-                groups.append([(p, q)])
-        for group in groups:
-            if len({q for _, q in group}) < need:
-                continue
-            slack = size // 2 + N
-            low = max(0, min(p - q for p, q in group) - slack)
-            high = min(len(words), max(p - q for p, q in group) + size + slack)
-            score, matched, start, end = align(item, words[low:high])
-            best = max(best, (score, matched, low + start, low + end), key=lambda x: (x[0], x[1], -x[2]))
-        share = best[0] / (MATCH * size)
-        if share >= THRESHOLD and best[1] >= min(LEAST, size):
-            out.append({"item_id": block.ids[number], "score": share, "matched": best[1], "start": best[2], "end": best[3]})
+            out.append((low, high))
     return out
 
 
-def blocks_of(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item: str = "text") -> Iterator[Block]:
-    """The benchmark's blocks, one at a time, with seeds chosen by counts over all of docs."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), text_of(item).alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // BLOCK_BYTES))
-    for part in range(parts):
-        block = make_block([(r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).collect()])
-        if not block.items:
-            continue
+class Bits:
+    """A set of 64-bit hashes as two bits each of a table; it may hold more than it was given."""
 
-        def count(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(len(block.codes), np.int64)
-            for batch in batches:
-                for raw in raw_texts(batch.column(0)):
-                    codes = block.code(block.numbered(words_of(raw)))
-                    sums[np.searchsorted(block.codes, np.unique(codes[_known(codes, block.codes)]))] += 1
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], ["gram", "n"])
+    def __init__(self, table: np.ndarray):
+        self.table, self.mask = table, np.uint64(8 * len(table) - 1)
 
-        summed = docs.select(text_of(text).alias("text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(block.codes), np.int64)
-        for r in summed.collect():  # a row an n-gram of the block at most
-            frequency[r["gram"]] = r["n"]
-        choose_seeds(block, frequency)
-        yield block
+    @staticmethod
+    def of(hashes: DataFrame, column: str) -> "Bits":
+        """Those of a column of longs. The driver gets the table's words that aren't zero."""
+        count = hashes.count()
+        bits = min(BITS, max(1 << 16, 1 << (64 * max(1, count) - 1).bit_length()))
+        slots = F.explode(F.array(F.col(column), F.shiftrightunsigned(F.col(column), 32))).alias("h")
+        slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+        words = hashes.select(slots).select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b"))
+        table = np.zeros(bits // 64, np.int64)
+        found = words.groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+        table[found["at"].to_numpy()] = found["b"].to_numpy()
+        return Bits(table.view(np.uint8))
 
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), bool)
+        for h in (hashes, hashes >> np.uint64(32)):
+            slot = h & self.mask
+            found &= (self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
 
-def matches(text: Column, block: Block) -> Column:
-    """The copies of a block's items in a text column, as MATCHES; null counts as empty."""
 
-    @F.arrow_udf(MATCHES)
+def items_of(benchmark: DataFrame, item_id: str = "item_id", item: str = "text") -> DataFrame:
+    """(item, item_id, words): distinct items, each word a hash; those with fewer than N words can't be told from chance and take no part."""
+
+    @F.arrow_udf("array<long>")
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([hashes_of(t).view(np.int64) for t in raw_texts(texts)], pa.list_(pa.int64()))
+
+    rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), text_of(item).alias("t")).select("item_id", hashed("t").alias("words")).distinct()
+    return written(rows.filter(F.size("words") >= N).select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words"), "items")
+
+
+def pair_table(items: DataFrame) -> DataFrame:
+    """(pair, item, q, n): the pairs of all items, at their places."""
+
+    @F.arrow_udf("array<long>")
+    def paired(words: pa.Array) -> pa.Array:
+        return pa.array([pairs_of(w.values.to_numpy().view(np.uint64)).view(np.int64) for w in words], pa.list_(pa.int64()))
+
+    each = items.select("item", F.size("words").alias("n"), F.posexplode(paired("words")).alias("q", "pair"))
+    return written(each.select("pair", "item", "q", "n"), "pairs")
+
+
+def frequencies(docs: DataFrame, text: str, known: Bits) -> DataFrame:
+    """(pair, df): in how many rows of docs each pair of the table stands, and some that it lets through."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs.view(np.int64)), pa.array(n, pa.int64())], ["pair", "df"])
+
+        for batch in batches:
+            for raw in raw_texts(batch.column(0)):
+                pairs = pairs_of(hashes_of(raw))
+                held.append(np.unique(pairs[known.has(pairs)]))
+                size += len(held[-1])
+                if size >= HELD:
+                    yield out()
+                    size = 0
+        yield out()
+
+    return docs.select(text_of(text).alias("t")).mapInArrow(count, "pair long, df long").groupBy("pair").agg(F.sum("df").alias("df"))
+
+
+def choose_seeds(pairs: DataFrame, df: DataFrame) -> DataFrame:
+    """(pair, item, q, n, need): of each item, the rarest of its pairs that stand in documents (ties: the least hash, then the first)."""
+    sizes = [(n, guaranteed(n) - least_seeds(n), least_seeds(n)) for n in range(N, int(RUN / THRESHOLD) + 1)]
+    capped = F.least("n", F.lit(sizes[-1][0])) - F.lit(N)
+    of = lambda i: F.get(F.array(*[F.lit(s[i]) for s in sizes]), capped)
+    item = Window.partitionBy("item")
+    ranked = pairs.join(df, "pair").withColumn("r", F.row_number().over(item.orderBy("df", "pair", "q"))).withColumn("seen", F.count("*").over(item))
+    return written(ranked.filter(F.col("r") <= F.greatest(F.col("seen") - of(1), of(2))).select("pair", "item", "q", "n", of(2).alias("need")), "seeds")
+
+
+def seeds_in(text: Column, known: Bits) -> Column:
+    """(p, pair) of each place of a text where a pair stands that the table has."""
+
+    @F.arrow_udf("array<struct<p:int,pair:long>>")
     def found(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-        return pa.array([matches_of(block, t) for t in raw_texts(texts)], kind)
+        rows, counts = [], [0]
+        for raw in raw_texts(texts):
+            pairs = pairs_of(hashes_of(raw))
+            at = np.flatnonzero(known.has(pairs))
+            rows.append((at, pairs[at]))
+            counts.append(counts[-1] + len(at))
+        places = np.concatenate([p for p, _ in rows]) if rows else np.zeros(0)
+        values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.uint64)
+        struct = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(values.view(np.int64))], ["p", "pair"])
+        return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), struct)
+
+    return found(text)
 
-    return found(text_of(text))
+
+def _aligned(hits: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, m): the copies in each of hits (row, text, seeds), by items joined on seeds."""
+
+    @F.arrow_udf("array<struct<low:int,high:int>>")
+    def spans(places: pa.Array, n: pa.Array, need: pa.Array) -> pa.Array:
+        found = [spans_of([(x["p"], x["q"]) for x in pq], *s) for pq, *s in zip(places.to_pylist(), n.to_pylist(), need.to_pylist())]
+        return pa.array([[{"low": a, "high": b} for a, b in s] for s in found], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
+
+    @F.arrow_udf(MATCHES)
+    def matches(texts: pa.Array, wanted: pa.Array) -> pa.Array:
+        out = []
+        for raw, each in zip(raw_texts(texts), wanted):
+            words, found = hashes_of(raw), []
+            for one in each:
+                item = one["words"].values.to_numpy().view(np.uint64)
+                best = (0, 0, 0, 0)
+                for span in one["spans"]:
+                    low, high = span["low"].as_py(), span["high"].as_py()
+                    s, m, a, b = align(item, words[low:high])
+                    best = max(best, (s, m, low + a, low + b), key=lambda x: (x[0], x[1], -x[2]))
+                if best[0] >= MATCH * least_score(len(item)) and best[1] >= min(LEAST, len(item)):
+                    found.append({"item_id": one["item_id"].as_py(), "score": best[0] / (MATCH * len(item)), "matched": best[1], "start": best[2], "end": best[3]})
+            out.append(found)
+        return pa.array(out, _MATCHES)
+
+    each = hits.select("row", F.explode("seeds").alias("s")).select("row", "s.p", "s.pair")
+    placed = joined_small(each, seeds, "pair", "row").groupBy("row", "item", "n", "need").agg(F.collect_list(F.struct("p", "q")).alias("pq"))
+    near = placed.filter(F.size("pq") >= F.col("need")).select("row", "item", spans("pq", "n", "need").alias("spans")).filter(F.size("spans") > 0)
+    wanted = joined_small(near, items, "item", "row").groupBy("row").agg(F.collect_list(F.struct("item_id", "words", "spans")).alias("wanted"))
+    return hits.select("row", "text").join(wanted, "row").select("row", matches("text", "wanted").alias("m")).filter(F.size("m") > 0)
+
+
+def _index(docs: DataFrame, benchmark: DataFrame, text: str, **names) -> tuple[DataFrame, DataFrame, Bits]:
+    """(items, seeds, the bit table of the seeds' pairs), chosen by counts over all of docs."""
+    items = items_of(benchmark, **names)
+    pairs = pair_table(items)
+    seeds = choose_seeds(pairs, frequencies(docs, text, Bits.of(pairs.select("pair").distinct(), "pair")))
+    return items, seeds, Bits.of(seeds.select("pair").distinct(), "pair")
+
+
+def _hits(docs: DataFrame, text: str, known: Bits) -> tuple[DataFrame, str, str]:
+    """The rows of docs that hold seeds, written down with a number and their seeds; the names of these two columns."""
+    row, found = fresh(docs.columns, "row_number"), fresh(docs.columns, "found_seeds")
+    held = docs.withColumn(found, seeds_in(text_of(text), known)).filter(F.size(found) > 0)
+    return written(held.withColumn(row, F.monotonically_increasing_id()), "hits"), row, found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """(doc_id, item_id, score, matched, start, end) for each row of docs and item of which it holds a copy.
 
-    score: the alignment's share of the item's own; start and end: places of words in the document. A null or empty
-    text holds none; items with fewer than N words, or null, take no part; equal items are one; repeated rows of docs
-    are each reported; an empty table on either side gives no rows.
+    score: the alignment's share of the item's own, of the best passage (ties: more words matched, then the first);
+    start and end: places of words in the document. Copies score THRESHOLD of the item's own, or as RUN words in a long
+    item. A null or empty text holds none; very long texts and items are read whole, alignments hold a row at a time;
+    items with fewer than N words, or null, take no part; equal items are one; of seeds equally rare any serve;
+    repeated rows of docs are each reported; a null doc_id is reported as null; other columns aren't read; an empty
+    table on either side gives no rows.
     """
-    parts = [
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.explode(matches(F.col(text), b)).alias("m")).select("doc_id", "m.*")
-        for b in blocks_of(docs, benchmark, text, **names)
-    ]
-    if not parts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, matched int, start int, end int")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    items, seeds, known = _index(given, benchmark, "text", **names)
+    hits, row, found = _hits(given, "text", known)
+    hits = hits.select("doc_id", text_of("text").alias("text"), F.col(row).alias("row"), F.col(found).alias("seeds"))
+    copies = _aligned(hits, seeds, items)
+    return hits.select("row", "doc_id").join(copies, "row").select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
-    """docs without rows that hold a copy of an item; columns stay as they are."""
-    name = fresh(docs.columns, "copies")
-    out = docs
-    for block in blocks_of(docs, benchmark, text, **names):
-        out = out.withColumn(name, F.size(matches(F.col(text), block))).filter(F.col(name) == 0).drop(name)
-    return out
+    """docs without rows that hold a copy of an item; columns stay as they are. Cases are as in ``contaminated``; rows without seeds are never moved."""
+    items, seeds, known = _index(docs, benchmark, text, **names)
+    hits, row, found = _hits(docs, text, known)
+    copies = _aligned(hits.select(F.col(row).alias("row"), text_of(text).alias("text"), F.col(found).alias("seeds")), seeds, items)
+    gone = written(copies.select(F.col("row").alias(row)), "gone")
+    cleared = hits.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(F.size(seeds_in(text_of(text), known)) == 0).unionByName(cleared)
