@@ -38,6 +38,21 @@ def overlap_ratio(a: Box, b: Box, mode: str = "union") -> Column:
     return F.when(below[mode] > 0, shared / below[mode]).otherwise(F.lit(0.0))
 
 
+def hull_area(a: Box, b: Box) -> Column:
+    """Area of the convex hull of two rectangles: that of the box around both, less a triangle at each corner that neither fills alone."""
+    whole = (F.greatest(a[2], b[2]) - F.least(a[0], b[0])) * (F.greatest(a[3], b[3]) - F.least(a[1], b[1]))
+    for i, j, turned in ((0, 1, -1), (2, 3, -1), (0, 3, 1), (2, 1, 1)):
+        both = (a[i] - b[i]) * (a[j] - b[j]) * turned
+        whole = whole - F.greatest(both, F.lit(0.0)) / 2
+    return whole
+
+
+def hull_ratio(a: Box, b: Box) -> Column:
+    """Shared area over that of the convex hull of both; zero where that is zero."""
+    below = hull_area(a, b)
+    return F.when(below > 0, intersection(a, b) / below).otherwise(F.lit(0.0))
+
+
 def corner_distance(a: Box, b: Box) -> Column:
     """Sum of the corners' L1 distances, and the lesser of the two corners' own."""
     first, last = F.abs(b[0] - a[0]) + F.abs(b[1] - a[1]), F.abs(b[2] - a[2]) + F.abs(b[3] - a[3])

@@ -6,6 +6,7 @@ import html
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,9 +176,9 @@ def table_similarity(found: str | None, truth: str | None) -> float:
 
 
 def teds(column: Column, truth: Column) -> Column:
-    @F.udf("double")
-    def scored(a, b):
-        return round(table_similarity(a, b), 6)
+    @F.arrow_udf("double")
+    def scored(found: pa.Array, truths: pa.Array) -> pa.Array:
+        return pa.array([round(table_similarity(a, b), 6) for a, b in zip(found.to_pylist(), truths.to_pylist())], pa.float64())
 
     return scored(column, truth)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
+from quire.operators.sampling import numbered
 
 SIDES = ("x0", "y0", "x1", "y1")
 
@@ -69,9 +70,9 @@ def cell_of_line(cells: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def best_iou_of_rest(cells: DataFrame, lines: DataFrame, matched: DataFrame) -> DataFrame:
-    """Lines without a match, each with the first cell of the highest overlap, if that is over 0."""
+    """Lines without a match, each with the first cell of the highest overlap, if that is over 0. The overlap is taken of the convex hull of both boxes."""
     rest = lines.join(matched.select("page_id", F.col("line_id").alias("box_id")), ["page_id", "box_id"], "left_anti")
-    pairs = on_page(rest, cells, g.touches(LEFT, RIGHT)).withColumn("iou", g.overlap_ratio(LEFT, RIGHT)).filter("iou > 0")
+    pairs = on_page(rest, cells, g.touches(LEFT, RIGHT)).withColumn("iou", g.hull_ratio(LEFT, RIGHT)).filter("iou > 0")
     best = pairs.groupBy("page_id", F.col("l_box_id").alias("line_id")).agg(F.min(F.struct((-F.col("iou")).alias("m"), "r_box_id")).alias("b"))
     return best.select("page_id", "line_id", F.col("b.r_box_id").alias("cell_id"), (-F.col("b.m")).alias("iou"))
 
@@ -119,9 +120,8 @@ def edit_merge(base: DataFrame, edits: DataFrame, key: str, value: str) -> DataF
     last = edits.filter("action <> 'insert'").groupBy(key).agg(F.max(F.struct("place", "action", value)).alias("e"))
     kept = base.join(last, key, "left").filter("e is null or e.action <> 'delete'").select(key, F.coalesce(F.col(f"e.{value}"), F.col(value)).alias(value))
     top = base.agg(F.coalesce(F.max(key), F.lit(-1)).alias("top"))
-    # The number of inserts is that of a person's edits: one ordered run.
-    new = edits.filter("action = 'insert'").select(value, F.row_number().over(Window.orderBy("place")).alias("n"))
-    return kept.unionByName(new.withColumn(key, F.lit(0)).select((F.col("n") + top.scalar()).cast(base.schema[key].dataType).alias(key), value))
+    new = numbered(edits.filter("action = 'insert'").select(value, "place"), [], ["place"], "n")
+    return kept.unionByName(new.select((F.col("n") + top.scalar()).cast(base.schema[key].dataType).alias(key), value))
 
 
 def first_link(links: DataFrame, head: str = "head", tail: str = "tail", order: str = "place") -> DataFrame:

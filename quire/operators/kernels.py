@@ -15,15 +15,15 @@ from pyspark.sql.types import StructType
 Rows = list[dict]
 
 
-def per_page(df: DataFrame, kernel: Callable[[Rows], Rows], schema: str, page: str = "page_id") -> DataFrame:
-    """kernel on each page's rows; a page is gathered in one task, so a page bounds memory."""
+def per_page(df: DataFrame, kernel: Callable[[Rows], Rows], schema: str, *page: str) -> DataFrame:
+    """kernel on each page's rows (or those of each group by other columns); a page is gathered in one task, so a page bounds memory."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(rows: pa.Table) -> pa.Table:
         out = kernel(rows.to_pylist())
         return pa.Table.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in kind], schema=kind)
 
-    return df.groupBy(page).applyInArrow(run, schema)
+    return df.groupBy(*(page or ("page_id",))).applyInArrow(run, schema)
 
 
 def iou(a: dict, b: dict, eps: float = 0.0, mode: str = "union") -> float:
@@ -60,10 +60,11 @@ def match_in_order(pairs: Rows, least: float = 0.5) -> Rows:
     return out
 
 
-def hard_nms(rows: Rows, most: float = 0.5, eps: float = 1e-5) -> Rows:
+def hard_nms(rows: Rows, most: float = 0.5, eps: float = 1e-5, by: str | None = "label") -> Rows:
+    """The best box of a class goes with those of the class that it overlaps by more than most; by None, all are one class."""
     kept: Rows = []
     for r in best_first(rows):
-        if all(iou(r, k, eps) <= most for k in kept):
+        if all(iou(r, k, eps) <= most for k in kept if by is None or k[by] == r[by]):
             kept.append(r)
     return kept
 
@@ -98,7 +99,7 @@ def locality_nms(rows: Rows, most: float = 0.3) -> Rows:
             a["score"] = total
         else:
             merged.append(dict(r))
-    return hard_nms(merged, most, 0.0)
+    return hard_nms(merged, most, 0.0, None)
 
 
 def label_dedup(rows: Rows, most: float = 0.5, first: str = "table") -> Rows:
@@ -171,23 +172,24 @@ def table_rows(rows: Rows, near: float = 3) -> Rows:
     return [r | {"line": i, "place": j} for i, line in enumerate(lines) for j, r in enumerate(sorted(line, key=lambda r: (r["x0"], r["box_id"])))]
 
 
-def merge_fragments(rows: Rows, across: float = 10, level: float = 5) -> Rows:
-    """Boxes whose tops and bottoms are level and whose ends nearly meet become one, until none do."""
-    boxes = [dict(r) for r in sorted(rows, key=lambda r: (r["y0"], r["x0"], r["box_id"]))]
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(boxes)):
-            for j in range(len(boxes)):
-                a, b = boxes[i], boxes[j]
-                if i != j and abs(a["y0"] - b["y0"]) <= level and abs(a["y1"] - b["y1"]) <= level and abs(a["x1"] - b["x0"]) <= across:
-                    boxes[i] = a | {"x0": min(a["x0"], b["x0"]), "y0": min(a["y0"], b["y0"]), "x1": max(a["x1"], b["x1"]), "y1": max(a["y1"], b["y1"]), "box_id": min(a["box_id"], b["box_id"])}
-                    del boxes[j]
-                    changed = True
-                    break
-            if changed:
-                break
-    return boxes
+def merge_fragments(rows: Rows, across: float = 10, level: float = 10) -> Rows:
+    """Boxes in order of box_id take later ones whose tops and bottoms are level and that begin near their right end; pass after pass until none is taken."""
+    boxes = sorted((dict(r) for r in rows), key=lambda r: r["box_id"])
+    while True:
+        left, out = boxes, []
+        while left:
+            a, rest = dict(left[0]), []
+            for b in left[1:]:
+                if abs(a["y0"] - b["y0"]) <= level and abs(a["y1"] - b["y1"]) <= level and abs(a["x1"] - b["x0"]) <= across:
+                    for side, pick in (("x0", min), ("y0", min), ("x1", max), ("y1", max)):
+                        a[side] = pick(a[side], b[side])
+                else:
+                    rest.append(b)
+            out.append(a)
+            left = rest
+        if len(out) == len(boxes):
+            return out
+        boxes = out
 
 
 def merge_words(rows: Rows, low: float = -0.4, high: float = 1.2) -> Rows:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,16 +83,23 @@ def tokens_13a(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
-def ngram_overlap(pairs: DataFrame, by: list[str], key: str, truth: str, found: str, n: int = 4) -> DataFrame:
-    """Sums by size of n-gram: n-grams of found, and those of them that truth has, each as often as there at most."""
-    def grams(words: Column) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i + k - 1 <= F.size(words)),
-            lambda i: F.struct(k.alias("k"), F.array_join(F.slice(words, i, k), " ").alias("g")))))
+def ngram_overlap(pairs: DataFrame, by: list[str], truth: str, found: str, n: int = 4) -> DataFrame:
+    """Sums by size of n-gram: n-grams of found, and those of them that truth has, each as often as there at most. Counted within a row, so only sums are shuffled."""
+
+    @F.arrow_udf("array<struct<size:int,total:long,clipped:long>>")
+    def counted(truths: pa.Array, founds: pa.Array) -> pa.Array:
+        out = []
+        for a, b in zip(truths.to_pylist(), founds.to_pylist()):
+            a, b, row = a or [], b or [], []
+            for k in range(1, n + 1):
+                here, there = Counter(zip(*[b[i:] for i in range(k)])), Counter(zip(*[a[i:] for i in range(k)]))
+                if here:
+                    row.append({"size": k, "total": here.total(), "clipped": (here & there).total()})
+            out.append(row)
+        return pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("total", pa.int64()), ("clipped", pa.int64())])))
 
-    side = lambda words, name: pairs.select(*by, key, F.explode(grams(F.col(words))).alias("x")).groupBy(*by, key, "x").agg(F.count("*").alias(name))
-    both = side(found, "f").join(side(truth, "t"), [*by, key, "x"], "left")
-    return both.groupBy(*by, F.col("x.k").alias("size")).agg(F.sum("f").alias("total"), F.sum(F.least("f", F.coalesce("t", F.lit(0)))).alias("clipped"))
+    each = pairs.select(*by, F.explode(counted(truth, found)).alias("x"))
+    return each.groupBy(*by, F.col("x.size").alias("size")).agg(F.sum("x.total").alias("total"), F.sum("x.clipped").alias("clipped"))
 
 
 def corpus_bleu(sums: DataFrame, lengths: DataFrame, by: list[str], n: int = 4) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.sampling import numbered
+
 
 def islands(df: DataFrame, by: str, order: str, same: Column, name: str = "run") -> DataFrame:
     """Numbers the runs of rows for which same (of a row and, by lag, the one before) holds."""
@@ -16,9 +18,13 @@ def lagged(column: str | Column, by: str, order: str) -> Column:
     return F.lag(column).over(Window.partitionBy(by).orderBy(order))
 
 
-def sliding_median(df: DataFrame, by: str, order: str, value: str, n: int) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(1 - n, 0)
-    return df.withColumn("median", F.round(F.percentile(value, 0.5).over(w), 6))
+def sliding_median(df: DataFrame, by: str, order: str, value: str, n: int, size: int = 4096) -> DataFrame:
+    """The median of each row and the n - 1 before it in its group. Groups are cut into stretches of size rows, each with the last rows of the one before."""
+    placed = numbered(df, [by], [order], "__p").withColumn("__cut", F.floor((F.col("__p") - 1) / size))
+    also = F.when((F.col("__p") - 1) % size >= size - n + 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = placed.withColumn("__halo", F.explode(also)).withColumn("__cut", F.col("__cut") + F.col("__halo"))
+    w = Window.partitionBy(by, "__cut").orderBy("__p").rowsBetween(1 - n, 0)
+    return rows.withColumn("median", F.round(F.percentile(value, 0.5).over(w), 6)).filter("__halo = 0").drop("__p", "__cut", "__halo")
 
 
 def typographic_runs(df: DataFrame, by: str, order: str, keys: list[str], text: str) -> DataFrame:

@@ -4,32 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.functions import sequences, text
-from quire.operators import documents, joins, kernels, layout, metrics, sampling, windows
+from quire.operators import detection, documents, joins, kernels, layout, metrics, sampling, search, windows
 from quire.plans import relations as rel
-from quire.plans.relations import AREA_A, AREA_B, CENTRE, INTER, IOU, TOUCH, with_sql
+from quire.plans.base import ORACLE, QUERIES, query
+from quire.plans.relations import AREA_A, AREA_B, CENTRE, HULL, INTER, IOU, TOUCH, fold_sql, with_sql
 from quire.sources import labels
 from quire.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its own name, with its SQL if it has one."""
-    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[function.__name__] = function
-        if sql:
-            ORACLE[function.__name__] = sql
-        return function
-
-    return add
-
-
 # Text and recognition
 
 
@@ -45,9 +31,15 @@ def pages_concat(spark, d):
     return windows.concat_pages(rel.read(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT doc_id, translate(substring(text, 1, 100), 'ＡＢａｂ　', 'ABab ') text FROM documents")
+_WIDE = "　" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x20, 0x7F))).replace("'", "''")
+
+
+@query(f"SELECT doc_id, translate(translate(text, 'abcxyz(),.', 'ａｂｃｘｙｚ（），．'), '{_WIDE}', '{_NARROW}') text, translate(translate(text, '{_NARROW}', '{_WIDE}'), '{_WIDE}', '{_NARROW}') = text same FROM documents")
 def halfwidth(spark, d):
-    return rel.read(spark, d, "documents").select("doc_id", text.half_width(F.substring("text", 1, 100)).alias("text"))
+    """Whole texts with some letters, and with all printable ASCII, made full-width first."""
+    some, every = F.translate("text", "abcxyz(),.", "ａｂｃｘｙｚ（），．"), F.translate("text", "".join(map(chr, range(0x20, 0x7F))), _WIDE)
+    return rel.read(spark, d, "documents").select("doc_id", text.half_width(some).alias("text"), (text.half_width(every) == F.col("text")).alias("same"))
 
 
 @query("SELECT page_id, regexp_replace(html, '([*`~$])', '\\\\\\1', 'g') escaped, replace(replace(url, '(', '%28'), ')', '%29') url FROM pages")
@@ -79,15 +71,14 @@ def _encode_sql(name: str, limit: int = 25) -> str:
     fits = f"length(t) BETWEEN 1 AND {limit} AND len(f) > 0 AND len(f) <= {limit - e.room}" if e.checks else "length(t) > 0 AND len(f) > 0"
     whole = f"list_concat(list_concat({head}, f), {tail})"
     padded = f"list_concat({whole}, list_transform(range(greatest(0, {limit + e.extra} - len({whole}))), lambda x: {e.number(e.pad)}))"
-    return with_sql("lines") + f""", w AS (SELECT doc_id, line_no, lower(substring(line, 1, 10 + CAST(doc_id % 30 AS INT))) t FROM lines), n AS (SELECT *, {found} f FROM w)
-SELECT doc_id, line_no, CASE WHEN {fits} THEN array_to_string({f"{padded}[1:{limit + e.extra}]" if e.cut else padded}, ',') END ids FROM n"""
+    return with_sql("lines", "bits") + f""", w AS (SELECT doc_id, line_no, piece, lower(bit) t FROM bits), n AS (SELECT *, {found} f FROM w)
+SELECT doc_id, line_no, piece, CASE WHEN {fits} THEN array_to_string({f"{padded}[1:{limit + e.extra}]" if e.cut else padded}, ',') END ids FROM n"""
 
 
 def _encoded(name: str) -> Callable:
     def run(spark, d):
-        start = F.lower(F.expr("substring(line, 1, 10 + cast(doc_id % 30 as int))"))
-        ids = sequences.encode(start, sequences.ENCODERS[name])
-        return rel.lines(spark, d).select("doc_id", "line_no", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+        ids = sequences.encode(F.lower("bit"), sequences.ENCODERS[name])
+        return rel.bits(spark, d).select("doc_id", "line_no", "piece", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
 
     run.__name__ = f"encode_{name}"
     return run
@@ -97,23 +88,23 @@ for _name in sequences.ENCODERS:
     query(_encode_sql(_name))(_encoded(_name))
 
 
-@query(with_sql("lines") + """, s AS (SELECT doc_id, line_no, list_transform(string_split(lower(substring(line, 1, 40)), ''), lambda c: CAST(strpos('0123456789abcdefghijklmnopqrstuvwxyz', c) AS BIGINT)) ids FROM lines WHERE length(line) > 0),
-k AS (SELECT doc_id, line_no, list_filter(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN (i = 1 OR ids[i] <> ids[i - 1]) AND ids[i] <> 0 THEN ids[i] END), lambda x: x IS NOT NULL) kept FROM s)
-SELECT doc_id, line_no, array_to_string(list_transform(kept, lambda x: substring('0123456789abcdefghijklmnopqrstuvwxyz', CAST(x AS INT), 1)), '') AS text, CAST(CASE WHEN len(kept) > 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM k""")
+@query(with_sql("lines", "bits") + """, s AS (SELECT doc_id, line_no, piece, list_transform(string_split(lower(bit), ''), lambda c: CAST(strpos('0123456789abcdefghijklmnopqrstuvwxyz', c) AS BIGINT)) ids FROM bits),
+k AS (SELECT doc_id, line_no, piece, list_filter(list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN (i = 1 OR ids[i] <> ids[i - 1]) AND ids[i] <> 0 THEN {'x': ids[i], 's': (ids[i] * 7 + i) % 10 / 10.0} END), lambda x: x IS NOT NULL) kept FROM s)
+SELECT doc_id, line_no, piece, array_to_string(list_transform(kept, lambda x: substring('0123456789abcdefghijklmnopqrstuvwxyz', CAST(x.x AS INT), 1)), '') AS text, round(CASE WHEN len(kept) > 0 THEN list_sum(list_transform(kept, lambda x: CAST(x.s AS DOUBLE))) / len(kept) ELSE 0.0 END, 6) AS score FROM k""")
 def ctc_decode(spark, d):
-    ids = F.transform(F.split(F.lower(F.substring("line", 1, 40)), ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.call_function("instr", F.lit(_CHARS), c)))
-    steps = rel.lines(spark, d).filter(F.length("line") > 0).select("doc_id", "line_no", ids.alias("ids")).withColumn("scores", F.transform("ids", lambda _: F.lit(0.5)))
+    ids = F.transform(F.split(F.lower("bit"), ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.call_function("instr", F.lit(_CHARS), c)))
+    steps = rel.bits(spark, d).select("doc_id", "line_no", "piece", ids.alias("ids")).withColumn("scores", F.transform("ids", lambda x, i: (x * 7 + i + 1) % 10 / 10.0))
     found, score = sequences.decode(F.col("ids"), F.col("scores"), sequences.Decoder(skip=(0,), repeats=True, empty=0.0), ["", *_CHARS])
-    return steps.select("doc_id", "line_no", found.alias("text"), score.alias("score"))
+    return steps.select("doc_id", "line_no", "piece", found.alias("text"), F.round(score, 6).alias("score"))
 
 
 @query()
 def word_groups(spark, d):
-    @F.udf("array<struct<word:string,kind:string>>")
-    def grouped(line):
-        return documents.word_groups(line)
+    @F.arrow_udf("string")
+    def grouped(lines: pa.Array) -> pa.Array:
+        return pa.array([" ".join(f"{w}/{k}" for w, k in documents.word_groups(x or "")) for x in lines.to_pylist()], pa.string())
 
-    return rel.lines(spark, d).select("doc_id", "line_no", F.transform(grouped("line"), lambda w: F.concat(w["word"], F.lit("/"), w["kind"])).alias("words")).select("doc_id", "line_no", F.array_join("words", " ").alias("words"))
+    return rel.lines(spark, d).select("doc_id", "line_no", grouped("line").alias("words"))
 
 
 @query("""WITH d AS (SELECT d.*, l.quality FROM documents d JOIN labels l USING (doc_id)), p AS (SELECT lang, quality, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END guess FROM d)
@@ -123,30 +114,30 @@ def cls_accuracy(spark, d):
     return metrics.accuracy(rows, ["lang"], "quality", "guess")
 
 
-_GRAMS = with_sql("pairs") + """, w AS (SELECT lang, doc_id, list_filter(string_split(lower(regexp_replace(target, '[^0-9A-Za-z ]', '', 'g')), ' '), lambda x: x <> '') a, list_filter(string_split(lower(regexp_replace(found, '[^0-9A-Za-z ]', '', 'g')), ' '), lambda x: x <> '') b FROM pairs),
+_GRAMS = with_sql("pairs") + """, w AS (SELECT lang, doc_id, piece, list_filter(string_split(lower(regexp_replace(target, '[^0-9A-Za-z ]', '', 'g')), ' '), lambda x: x <> '') a, list_filter(string_split(lower(regexp_replace(found, '[^0-9A-Za-z ]', '', 'g')), ' '), lambda x: x <> '') b FROM pairs),
 n AS (SELECT unnest(range(1, 5)) k),
-t AS (SELECT lang, doc_id, k, array_to_string(a[i:i + k - 1], ' ') gram, count(*) c FROM (SELECT *, unnest(range(1, len(a) - k + 2)) i FROM w, n WHERE len(a) >= k) GROUP BY ALL),
-f AS (SELECT lang, doc_id, k, array_to_string(b[i:i + k - 1], ' ') gram, count(*) c FROM (SELECT *, unnest(range(1, len(b) - k + 2)) i FROM w, n WHERE len(b) >= k) GROUP BY ALL),
-s AS (SELECT f.lang, f.k AS size, CAST(sum(f.c) AS BIGINT) total, CAST(sum(least(f.c, coalesce(t.c, 0))) AS BIGINT) clipped FROM f LEFT JOIN t USING (lang, doc_id, k, gram) GROUP BY f.lang, f.k)
+t AS (SELECT lang, doc_id, piece, k, array_to_string(a[i:i + k - 1], ' ') gram, count(*) c FROM (SELECT *, unnest(range(1, len(a) - k + 2)) i FROM w, n WHERE len(a) >= k) GROUP BY ALL),
+f AS (SELECT lang, doc_id, piece, k, array_to_string(b[i:i + k - 1], ' ') gram, count(*) c FROM (SELECT *, unnest(range(1, len(b) - k + 2)) i FROM w, n WHERE len(b) >= k) GROUP BY ALL),
+s AS (SELECT f.lang, f.k AS size, CAST(sum(f.c) AS BIGINT) total, CAST(sum(least(f.c, coalesce(t.c, 0))) AS BIGINT) clipped FROM f LEFT JOIN t USING (lang, doc_id, piece, k, gram) GROUP BY f.lang, f.k)
 """
 
 
-def _word_pairs(spark, d, length=200):
+def _words(rows, *more):
     words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "[^0-9A-Za-z ]", "")), " "), lambda x: x != "")
-    return rel.pairs(spark, d, length).select("lang", "doc_id", words("target").alias("a"), words("found").alias("b"))
+    return rows.select("lang", "doc_id", words("target").alias("a"), words("found").alias("b"), *more)
 
 
 @query(_GRAMS + "SELECT lang, CAST(size AS INTEGER) size, total, clipped FROM s")
 def ngram_overlap(spark, d):
-    return metrics.ngram_overlap(_word_pairs(spark, d), ["lang"], "doc_id", "a", "b")
+    return metrics.ngram_overlap(_words(rel.pairs(spark, d)), ["lang"], "a", "b")
 
 
 @query(_GRAMS + """, l AS (SELECT lang, sum(len(a)) tl, sum(len(b)) fl FROM w GROUP BY lang)
 SELECT lang, round(CASE WHEN count(*) = 4 AND min(clipped) > 0 THEN CASE WHEN max(fl) / max(tl) > 1 THEN 1.0 ELSE exp(1 - max(tl) / max(fl)) END * exp(sum(ln(clipped / total)) / 4) ELSE 0.0 END, 6) bleu FROM s JOIN l USING (lang) GROUP BY lang""")
 def bleu(spark, d):
-    rows = _word_pairs(spark, d)
+    rows = _words(rel.pairs(spark, d))
     lengths = rows.groupBy("lang").agg(F.sum(F.size("a")).alias("truth_len"), F.sum(F.size("b")).alias("found_len"))
-    return metrics.corpus_bleu(metrics.ngram_overlap(rows, ["lang"], "doc_id", "a", "b"), lengths, ["lang"])
+    return metrics.corpus_bleu(metrics.ngram_overlap(rows, ["lang"], "a", "b"), lengths, ["lang"])
 
 
 @query()
@@ -156,11 +147,11 @@ def tokenize_13a(spark, d):
 
 @query()
 def word_edit(spark, d):
-    @F.udf("int")
-    def far(a, b):
-        return text.edit_distance(a, b)
+    @F.arrow_udf("int")
+    def far(truths: pa.Array, founds: pa.Array) -> pa.Array:
+        return pa.array([text.edit_distance(a.as_py(), b.as_py()) for a, b in zip(truths, founds)], pa.int32())
 
-    return _word_pairs(spark, d, None).select("doc_id", far("a", "b").alias("edits"))
+    return _words(rel.misread(spark, d)).select("doc_id", far("a", "b").alias("edits"))
 
 
 # Sampling and batches
@@ -172,7 +163,7 @@ def ratio_sample(spark, d):
     return sampling.ratio_sample(rel.read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.25, 7)
 
 
-@query("SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5('10|' || doc_id), doc_id) AS INTEGER) place FROM documents")
+@query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('10|' || doc_id), doc_id) AS place FROM documents")
 def epoch_shuffle(spark, d):
     return sampling.epoch_shuffle(rel.read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 7, 3)
 
@@ -258,7 +249,7 @@ def cell_text(spark, d):
 
 
 @query(with_sql("boxes", "cells") + f""", {_OWNED}, u AS (SELECT * FROM boxes WHERE (page_id, box_id) NOT IN (SELECT (page_id, line_id) FROM o))
-SELECT a.page_id, a.box_id line_id, b.box_id cell_id, round({IOU}, 6) iou FROM u a JOIN cells b ON a.page_id = b.page_id AND {TOUCH} WHERE {IOU} > 0 AND b.box_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY a.page_id, a.box_id ORDER BY {IOU} DESC, b.box_id) = 1""")
+SELECT a.page_id, a.box_id line_id, b.box_id cell_id, round({HULL}, 6) iou FROM u a JOIN cells b ON a.page_id = b.page_id AND {TOUCH} WHERE {HULL} > 0 AND b.box_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY a.page_id, a.box_id ORDER BY {HULL} DESC, b.box_id) = 1""")
 def best_iou_of_rest(spark, d):
     return joins.best_iou_of_rest(rel.cells(spark, d).filter("box_id % 3 <> 0"), rel.boxes(spark, d), _owned(spark, d)).withColumn("iou", F.round("iou", 6))
 
@@ -276,13 +267,13 @@ def neighbour_limits(spark, d):
     return joins.neighbour_limits(rel.boxes(spark, d))
 
 
-@query("""WITH e AS (SELECT event_id place, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' THEN 'insert' ELSE 'set' END action, user_id % 200 doc_id, event_type || event_id lang FROM events WHERE event_id < 400),
+@query("""WITH e AS (SELECT event_id place, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' THEN 'insert' ELSE 'set' END action, user_id doc_id, event_type || event_id lang FROM events),
 l AS (SELECT doc_id, arg_max(action, place) action, arg_max(lang, place) lang FROM e WHERE action <> 'insert' GROUP BY doc_id)
 SELECT b.doc_id, coalesce(l.lang, b.lang) lang FROM documents b LEFT JOIN l USING (doc_id) WHERE l.action IS NULL OR l.action <> 'delete'
 UNION ALL SELECT row_number() OVER (ORDER BY place) + (SELECT max(doc_id) FROM documents), lang FROM e WHERE action = 'insert'""")
 def edit_merge(spark, d):
     kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("set")
-    edits = rel.read(spark, d, "events").filter("event_id < 400").select(F.col("event_id").alias("place"), kind.alias("action"), (F.col("user_id") % 200).alias("doc_id"), F.concat("event_type", F.col("event_id").cast("string")).alias("lang"))
+    edits = rel.read(spark, d, "events").select(F.col("event_id").alias("place"), kind.alias("action"), F.col("user_id").alias("doc_id"), F.concat("event_type", F.col("event_id").cast("string")).alias("lang"))
     return joins.edit_merge(rel.read(spark, d, "documents").select("doc_id", "lang"), edits, "doc_id", "lang")
 
 
@@ -342,28 +333,69 @@ def _pairs(spark, d):
     return pairs.select("page_id", F.col("l_box_id").alias("gt_id"), F.col("r_box_id").alias("det_id"), "iou", (F.col("l_label") == "R").alias("ignored"))
 
 
-def _kernel(name: str, kernel, schema: str, relation=rel.boxes) -> None:
+def _kernel(name: str, kernel, schema: str, relation=rel.boxes, sql: str | None = None) -> None:
     def run(spark, d):
         out = kernels.per_page(relation(spark, d), kernel, schema)
         return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
     run.__name__ = name
-    query()(run)
+    query(sql)(run)
 
 
 _MATCH = "page_id long, gt_id long, det_id long, iou double"
-_kernel("match_iou_desc", kernels.match_by_iou, _MATCH, _pairs)
-_kernel("match_index_order", kernels.match_in_order, _MATCH, _pairs)
-_kernel("hard_nms", kernels.hard_nms, _BOX)
+_PAIRS = f"SELECT a.page_id, a.box_id gt_id, b.box_id det_id, {IOU} iou, a.label = 'R' ignored FROM boxes a JOIN pred b ON a.page_id = b.page_id AND {TOUCH} WHERE {IOU} >= 0.3"
+_FREE = "len(list_filter(a.acc, lambda x: x.g = b.gt_id OR x.d = b.det_id)) = 0"
+_TAKE = "list_append(a.acc, {'g': b.gt_id, 'd': b.det_id, 'i': b.iou})"
+_TAKEN = "STRUCT(g BIGINT, d BIGINT, i DOUBLE)[]"
+_OUT = "page_id, unnest(acc).g AS gt_id, unnest(acc).d AS det_id, round(unnest(acc).i, 6) AS iou"
+_MATCHED = (("boxes", "pred"), _PAIRS)
+_kernel("match_iou_desc", kernels.match_by_iou, _MATCH, _pairs, fold_sql(*_MATCHED, "iou DESC, gt_id, det_id", f"CASE WHEN {_FREE} THEN {_TAKE} ELSE a.acc END", _TAKEN, _OUT))
+_kernel("match_index_order", kernels.match_in_order, _MATCH, _pairs, fold_sql(*_MATCHED, "gt_id, det_id", f"CASE WHEN b.iou > 0.5 AND NOT b.ignored AND {_FREE} THEN {_TAKE} ELSE a.acc END", _TAKEN, _OUT))
+
+_ROW = "STRUCT(id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, s DOUBLE, l VARCHAR)[]"
+_THIS = "{'id': b.box_id, 'x0': b.x0, 'y0': b.y0, 'x1': b.x1, 'y1': b.y1, 's': b.score, 'l': b.label}"
+_SHARED = "greatest(least(x.x1, b.x1) - greatest(x.x0, b.x0), 0.0) * greatest(least(x.y1, b.y1) - greatest(x.y0, b.y0), 0.0)"
+_MINE, _ITS = "(b.x1 - b.x0) * (b.y1 - b.y0)", "(x.x1 - x.x0) * (x.y1 - x.y0)"
+_BOXES = (("boxes",), "SELECT * FROM boxes")
+_ALL = "page_id, unnest(acc).id AS box_id, unnest(acc).x0 AS x0, unnest(acc).y0 AS y0, unnest(acc).x1 AS x1, unnest(acc).y1 AS y1, round(unnest(acc).s, 6) AS score"
+
+
+def _kept_sql(order: str, bars: str) -> str:
+    """A box stays unless one that stays already bars it."""
+    return fold_sql(*_BOXES, order, f"CASE WHEN len(list_filter(a.acc, lambda x: {bars})) = 0 THEN list_append(a.acc, {_THIS}) ELSE a.acc END", _ROW, _ALL)
+
+
+def _order_sql(near: int, floor: int) -> str:
+    """Each box is put in front of the neighbours at the end of the list that it passes."""
+    last = f"list_position(list_transform(list_reverse(a.acc[{floor + 1}:]), lambda x: abs(b.y0 - x.y0) < {near} AND b.x0 < x.x0), false)"
+    cut = f"CASE WHEN len(a.acc) <= {floor} THEN len(a.acc) WHEN {last} IS NULL OR {last} = 0 THEN {floor} ELSE len(a.acc) - {last} + 1 END"
+    return fold_sql(*_BOXES, "y0, x0, box_id", f"list_concat(list_append(a.acc[:{cut}], {_THIS}), a.acc[{cut} + 1:])", _ROW, "page_id, unnest(acc).id AS box_id, CAST(unnest(range(len(acc))) AS BIGINT) AS place")
+
+
+# The mean of a row is that of its last box; a list element holds the row's number.
+_LEVEL = fold_sql(*_BOXES, "(y0 + y1) / 2, x0, box_id", "list_append(a.acc, {'id': b.box_id, 'x': b.x0, 'm': (b.y0 + b.y1) / 2, 'line': CASE WHEN len(a.acc) = 0 THEN 0 WHEN abs((b.y0 + b.y1) / 2 - a.acc[-1].m) <= 0.6 * (b.y1 - b.y0) THEN a.acc[-1].line ELSE a.acc[-1].line + 1 END})",
+                  "STRUCT(id BIGINT, x DOUBLE, m DOUBLE, line BIGINT)[]", "page_id, unnest(acc).id AS box_id, unnest(acc).line AS line, unnest(acc).x AS x")
+_FIRST = "list_filter(a.acc, lambda x: x.lead AND abs(x.y - b.y0) < 3)"
+_ROWS = fold_sql(*_BOXES, "y0, box_id", f"list_append(a.acc, {{'id': b.box_id, 'x': b.x0, 'y': b.y0, 'lead': len({_FIRST}) = 0, 'line': CASE WHEN len({_FIRST}) = 0 THEN len(list_filter(a.acc, lambda x: x.lead)) ELSE {_FIRST}[1].line END}})",
+                 "STRUCT(id BIGINT, x DOUBLE, y DOUBLE, lead BOOLEAN, line BIGINT)[]", "page_id, unnest(acc).id AS box_id, unnest(acc).line AS line, unnest(acc).x AS x")
+_IN_LINE = "SELECT page_id, box_id, line, CAST(row_number() OVER (PARTITION BY page_id, line ORDER BY x, box_id) - 1 AS BIGINT) AS place FROM ({}) placed"
+
+
+def _lines_sql(folded: str) -> str:
+    head, select = folded.rsplit("\nSELECT ", 1)
+    return f"{head}\n{_IN_LINE.format('SELECT ' + select)}"
+
+
+_kernel("hard_nms", kernels.hard_nms, _BOX, sql=_kept_sql("score DESC, box_id", f"x.l = b.label AND ({_SHARED}) / ({_MINE} + {_ITS} - {_SHARED} + 1e-5) > 0.5"))
 _kernel("soft_nms", kernels.soft_nms, _BOX)
 _kernel("locality_nms", kernels.locality_nms, _BOX)
-_kernel("label_dedup", lambda rows: kernels.label_dedup(rows, first="A"), _BOX)
-_kernel("reading_order", kernels.reading_order, _PLACED)
-_kernel("kie_order", lambda rows: kernels.reading_order(rows, 20, 1), _PLACED)
+_kernel("label_dedup", lambda rows: kernels.label_dedup(rows, first="A"), _BOX, sql=_kept_sql("label <> 'A', score DESC, box_id", f"({_SHARED}) / least({_MINE}, {_ITS}) > 0.5"))
+_kernel("reading_order", kernels.reading_order, _PLACED, sql=_order_sql(10, 0))
+_kernel("kie_order", lambda rows: kernels.reading_order(rows, 20, 1), _PLACED, sql=_order_sql(20, 1))
 _kernel("two_column_order", lambda rows: kernels.two_columns(rows, rel.WIDE), _PLACED)
-_kernel("row_order", kernels.level_rows, "page_id long, box_id long, line long, place long")
+_kernel("row_order", kernels.level_rows, "page_id long, box_id long, line long, place long", sql=_lines_sql(_LEVEL))
 _kernel("rtl_order", lambda rows: kernels.level_rows(rows, running=True, rtl=True), "page_id long, box_id long, line long, place long")
-_kernel("table_rows", kernels.table_rows, "page_id long, box_id long, line long, place long")
+_kernel("table_rows", kernels.table_rows, "page_id long, box_id long, line long, place long", sql=_lines_sql(_ROWS))
 _kernel("line_merge", kernels.merge_words, _BOX + ", text string")
 _kernel("fragment_merge", kernels.merge_fragments, _BOX)
 
@@ -371,27 +403,34 @@ _kernel("fragment_merge", kernels.merge_fragments, _BOX)
 # Metrics over matches
 
 
-def _matched_counts(spark, d, least=0.5):
-    """Per page: matches, and boxes on both sides that count."""
-    pairs = _pairs(spark, d).filter((F.col("iou") > least) & (F.col("gt_id") == F.col("det_id"))).groupBy("page_id").agg(F.count("*").alias("matched"))
-    sizes = rel.boxes(spark, d).groupBy("page_id").agg(F.count("*").alias("gt_care"))
-    found = rel.pred(spark, d).filter("score >= 0.7").groupBy("page_id").agg(F.count("*").alias("det_care"))
-    return sizes.join(found, "page_id", "left").join(pairs, "page_id", "left").na.fill(0)
+_CARE = f"d AS (SELECT b.page_id, b.box_id, b.score, b.x0, b.y0, b.x1, b.y1 FROM pred b WHERE NOT EXISTS (SELECT 1 FROM boxes a WHERE a.page_id = b.page_id AND a.label = 'R' AND {TOUCH} AND ({INTER}) / {AREA_B} > 0.5))"
+
 
+def _detection_sql(least: str) -> str:
+    """Matches by a fold, in index order, of truth that counts with found boxes that count, for each least score."""
+    rows = f"SELECT t.threshold, a.page_id, a.box_id gt_id, b.box_id det_id, {IOU} iou FROM boxes a JOIN d b ON a.page_id = b.page_id AND {TOUCH} JOIN t ON round(b.score, 4) >= t.threshold WHERE a.label <> 'R' AND {IOU} > 0.5"
+    folded = fold_sql(("boxes", "pred"), rows, "gt_id, det_id", f"CASE WHEN {_FREE} THEN {_TAKE} ELSE a.acc END", _TAKEN, "threshold, page_id, len(acc) AS hits", "threshold, page_id")
+    head, select = folded.rsplit("\nSELECT ", 1)
+    head = head.replace(", rows AS (", f", t AS (SELECT CAST(unnest({least}) AS DOUBLE) / 10 AS threshold), {_CARE}, rows AS (", 1)
+    return f"""{head}, m AS (SELECT threshold, sum(hits) AS hit FROM (SELECT {select}) h GROUP BY threshold),
+c AS (SELECT threshold, count(*) AS det FROM d JOIN t ON round(score, 4) >= threshold GROUP BY threshold), g AS (SELECT count(*) AS gt FROM boxes WHERE label <> 'R'),
+s AS (SELECT threshold, CAST(coalesce(hit, 0) AS BIGINT) AS matched, CAST(coalesce(det, 0) AS BIGINT) AS det_care, CAST(gt AS BIGINT) AS gt_care, coalesce(hit / nullif(det, 0), 0.0) AS p, coalesce(hit / nullif(gt, 0), 0.0) AS r FROM t LEFT JOIN m USING (threshold) LEFT JOIN c USING (threshold), g)
+SELECT threshold, matched, det_care, gt_care, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS hmean FROM s"""
 
-@query(with_sql("boxes", "pred") + f""", m AS (SELECT count(*) matched FROM boxes a JOIN pred b ON a.page_id = b.page_id AND a.box_id = b.box_id WHERE {IOU} > 0.5), g AS (SELECT count(*) gt FROM boxes), p AS (SELECT count(*) det FROM pred WHERE score >= 0.7)
-SELECT 'all' AS grp, CAST(matched AS BIGINT) matched, CAST(det AS BIGINT) det_care, CAST(gt AS BIGINT) gt_care, round(matched / det, 6) AS precision, round(matched / gt, 6) recall, round(2 * (matched / det) * (matched / gt) / (matched / det + matched / gt), 6) hmean FROM m, g, p""")
+
+def _detection(spark, d, least):
+    truth = rel.boxes(spark, d).withColumn("ignored", F.col("label") == "R")
+    return detection.at_thresholds(truth, rel.pred(spark, d).withColumn("score", F.round("score", 4)), least)
+
+
+@query(_detection_sql("[0]"))
 def det_prh(spark, d):
-    return metrics.detection(_matched_counts(spark, d).withColumn("grp", F.lit("all")), ["grp"])
+    return _detection(spark, d, [0.0])
 
 
-@query(with_sql("boxes", "pred") + """, t AS (SELECT unnest([3, 4, 5, 6, 7, 8, 9]) / 10.0 AS threshold), p AS (SELECT threshold, count(*) det, sum(CASE WHEN box_id % 7 < 3 THEN 1 ELSE 0 END) hit FROM pred, t WHERE round(score, 4) >= threshold GROUP BY threshold), g AS (SELECT count(*) gt FROM boxes)
-SELECT CAST(threshold AS DOUBLE) threshold, CAST(hit AS BIGINT) matched, CAST(det AS BIGINT) det_care, CAST(gt AS BIGINT) gt_care, round(hit / det, 6) AS precision, round(hit / gt, 6) recall, round(CASE WHEN hit > 0 THEN 2 * (hit / det) * (hit / gt) / (hit / det + hit / gt) ELSE 0.0 END, 6) hmean FROM p, g""")
+@query(_detection_sql("[3, 4, 5, 6, 7, 8, 9]"))
 def det_prh_thresholds(spark, d):
-    least = F.explode(F.array(*[F.lit(k / 10) for k in range(3, 10)])).alias("threshold")
-    found = rel.pred(spark, d).select("score", "box_id", least).filter(F.round("score", 4) >= F.col("threshold"))
-    counts = found.groupBy("threshold").agg(F.count("*").alias("det_care"), F.sum((F.col("box_id") % 7 < 3).cast("long")).alias("matched"))
-    return metrics.detection(counts.withColumn("gt_care", rel.boxes(spark, d).agg(F.count("*")).scalar()), ["threshold"])
+    return _detection(spark, d, [k / 10 for k in range(3, 10)])
 
 
 @query(with_sql("boxes", "pred") + """, c AS (SELECT CASE a.label WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 4 END t, CASE b.label WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 4 END f FROM boxes a JOIN pred b USING (box_id)),
@@ -532,9 +571,14 @@ def markdown_render(spark, d):
 
 @query()
 def teds(spark, d):
-    row = lambda c, n: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.slice(F.split(c, " "), 1, n), lambda w: F.concat(F.lit("<td>"), w, F.lit("</td>"))), ""), F.lit("</tr>"))
-    whole = lambda c: F.concat(F.lit("<html><body><table>"), row(c, 4), row(F.reverse(c), 3), F.lit("</table></body></html>"))
-    return rel.pairs(spark, d).select("doc_id", documents.teds(whole(F.translate("found", "<>&", "")), whole(F.translate("target", "<>&", ""))).alias("teds"))
+    """Each order as a table, a row a line, against one with a cell misread in every third line and the last line missing in every second order."""
+    row = lambda flag: F.concat(F.lit("<tr><td>"), F.col("l_partkey").cast("string"), F.lit("</td><td>"), flag, F.lit("</td><td>"), F.col("l_linestatus"), F.lit("</td></tr>"))
+    shown = F.when(F.col("l_linenumber") % 3 == 0, F.lit("?")).otherwise(F.col("l_returnflag"))
+    lines = rel.read(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", row(F.col("l_returnflag")).alias("truth"), row(shown).alias("found")).alias("r"))
+    tables = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    whole = lambda rows: F.concat(F.lit("<html><body><table>"), F.array_join(rows, ""), F.lit("</table></body></html>"))
+    found = F.when(F.col("l_orderkey") % 2 == 0, F.slice("r.found", 1, F.greatest(F.size("r") - 1, F.lit(1)))).otherwise(F.col("r.found"))
+    return tables.select(F.col("l_orderkey").alias("order_id"), F.round(documents.teds(whole(found), whole(F.col("r.truth"))), 6).alias("teds"))
 
 
 @query("""SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type = 'error' THEN 'no jobId' WHEN event_type = 'view' THEN 'unknown state' END AS problem FROM events""")
@@ -559,10 +603,10 @@ def label_json_parse(spark, d):
     return parsed.select("page_id", F.size("boxes").cast("long").alias("n"), F.size(F.filter("boxes", lambda b: b["ignored"])).cast("long").alias("n_ignored"))
 
 
-@query("""SELECT conv_id, string_agg(trim(t), chr(10) ORDER BY turn, t) AS text, round(avg(s), 6) confidence, count(*) n_lines FROM (SELECT conv_id, turn, substring(regexp_replace(text, '\\s+', ' ', 'g'), 1, 30) t, (turn % 5) / 4.0 s FROM conversations) WHERE trim(t) <> '' GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(trim(t), chr(10) ORDER BY turn, t) AS text, round(avg(s), 6) confidence, count(*) n_lines FROM (SELECT conv_id, turn, regexp_replace(text, '\\s+', ' ', 'g') t, (turn % 5) / 4.0 s FROM conversations) WHERE trim(t) <> '' GROUP BY conv_id""")
 def api_page_flatten(spark, d):
-    short = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 30)
-    turns = rel.read(spark, d, "conversations").select("conv_id", F.struct("turn", short.alias("t"), ((F.col("turn") % 5) / 4).alias("s")).alias("x"))
+    line = F.regexp_replace("text", r"\s+", " ")
+    turns = rel.read(spark, d, "conversations").select("conv_id", F.struct("turn", line.alias("t"), ((F.col("turn") % 5) / 4).alias("s")).alias("x"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("l"))
     result = F.struct(F.struct(F.array(F.struct(F.struct(F.col("l.t").alias("rec_texts"), F.col("l.s").alias("rec_scores")).alias("prunedResult"))).alias("ocrResults")).alias("result"))
     pages = labels.pages_of(rows.select("conv_id", F.to_json(result).alias("value")))
@@ -578,19 +622,12 @@ def review_queue(spark, d):
     return rows.select("page_id", "box_id", "score", "flag", F.row_number().over(Window.partitionBy("page_id").orderBy("score", "box_id")).alias("place"))
 
 
-@query("""WITH q AS (SELECT vec_id q, embedding qe FROM embeddings WHERE vec_id < 10), s AS (SELECT q, vec_id, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM q, embeddings WHERE vec_id <> q)
+@query("""WITH q AS (SELECT vec_id q, embedding qe FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[])) sc FROM q, embeddings WHERE vec_id <> q)
 SELECT q AS query_id, vec_id, round(sc, 6) score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY sc DESC, vec_id) <= 5""")
 def vector_topk(spark, d):
-    """Ten stated queries, sent to every row: a top-5 report."""
-    from pyspark.sql import Window
-
+    """The stated queries (ids divisible by 50), sent to every row in blocks: a top-5 report."""
     rows = rel.read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    asked = F.broadcast(rows.filter("vec_id < 10").select(F.collect_list(F.struct("vec_id", "e")).alias("qs")).limit(1))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    each = rows.withColumn("qs", asked.scalar()).select("vec_id", "e", F.explode("qs").alias("q")).filter("vec_id <> q.vec_id")
-    scored = each.select(F.col("q.vec_id").alias("query_id"), "vec_id", (dot("e", F.col("q.e")) / (F.sqrt(dot("e", "e")) * F.sqrt(dot(F.col("q.e"), F.col("q.e"))))).alias("s"))
-    best = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc(), "vec_id"))).filter("r <= 5")
-    return best.select("query_id", "vec_id", F.round("s", 6).alias("score"))
+    return search.exact_top(rows, rows.filter("vec_id % 50 = 0"), "vec_id", "e", 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
 # States and windows of events

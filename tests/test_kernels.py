@@ -1,9 +1,13 @@
 import random
+import statistics
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from quire.functions import geometry as g
 from quire.operators import kernels as k
+from quire.operators import sampling, windows
 
 
 def box(i, x, y, w=10, h=10, score=0.5, **more):
@@ -45,6 +49,55 @@ def test_merging_ends(rows):
     assert len(k.merge_words(rows)) <= len(rows)
 
 
+def test_fragments_take_later_boxes_only():
+    one = lambda rows: [(r["box_id"], r["x0"], r["x1"]) for r in k.merge_fragments(rows)]
+    assert one([box(0, 0, 0), box(1, 15, 8), box(2, 30, 0)]) == [(0, 0.0, 40.0)]
+    assert one([box(0, 15, 0), box(1, 0, 0)]) == [(0, 15.0, 25.0), (1, 0.0, 10.0)]  # the left one comes later
+    assert one([box(0, 0, 0), box(1, 30, 0), box(2, 15, 0)]) == [(0, 0.0, 40.0)]  # a second pass takes the far one
+    assert one([box(0, 0, 0), box(1, 15, 11)]) == [(0, 0.0, 10.0), (1, 15.0, 25.0)]
+
+
+def test_suppression_is_within_a_class():
+    two = [box(0, 0, 0, label="A"), box(1, 0, 0, label="B"), box(2, 0, 0, label="B")]
+    assert [r["box_id"] for r in k.hard_nms(two)] == [0, 1] and [r["box_id"] for r in k.hard_nms(two, by=None)] == [0]
+
+
+def hull(points):
+    points = sorted(set(points))
+    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+    out = []
+    for side in (points, points[::-1]):
+        chain = []
+        for p in side:
+            while len(chain) > 1 and turn(chain[-2], chain[-1], p) <= 0:
+                chain.pop()
+            chain.append(p)
+        out += chain[:-1]
+    return out
+
+
+def test_hull_of_two_rectangles(spark):
+    rng = random.Random(3)
+    rows = [tuple(float(v) for b in range(2) for x, y in [(rng.randint(0, 20), rng.randint(0, 20))] for v in (x, y, x + rng.randint(1, 15), y + rng.randint(1, 15))) for _ in range(300)]
+    names = [f"{s}{c}" for s in "ab" for c in ("x0", "y0", "x1", "y1")]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    found = df.select(g.hull_area(g.box("a"), g.box("b")).alias("h"), *names).collect()
+    for r in found:
+        corners = [(r[s + x], r[s + y]) for s in "ab" for x in ("x0", "x1") for y in ("y0", "y1")]
+        assert abs(r["h"] - abs(g.polygon_area(hull(corners)))) < 1e-9
+
+
+def test_numbers_over_stretches(spark):
+    rows = [(rng.choice("ab") if i % 9 else None, i * 7919 % 100_000) for rng in [random.Random(4)] for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    found = {(r["g"], r["k"]): r["n"] for r in sampling.numbered(df, ["g"], ["k"], "n", F.floor(F.col("k") / 1000)).collect()}
+    for group in ("a", "b", None):
+        assert [found[group, key] for key in sorted(key for name, key in rows if name == group)] == list(range(1, sum(name == group for name, _ in rows) + 1))
+    medians = windows.sliding_median(df.withColumn("g", F.lit("x")).withColumn("v", F.col("k") * 1.0), "g", "k", "v", 5, size=16).collect()
+    keys = sorted(key for _, key in rows)
+    assert {r["k"]: r["median"] for r in medians} == {key: statistics.median(keys[max(0, i - 4) : i + 1]) for i, key in enumerate(keys)}
+
+
 def test_matching():
     pairs = [{"gt_id": 1, "det_id": 1, "iou": 0.6}, {"gt_id": 1, "det_id": 2, "iou": 0.9}, {"gt_id": 2, "det_id": 2, "iou": 0.95}, {"gt_id": 2, "det_id": 1, "iou": 0.5}]
     assert [(p["gt_id"], p["det_id"]) for p in k.match_by_iou(pairs)] == [(2, 2), (1, 1)]
