@@ -109,6 +109,38 @@ def raw_texts(array: pa.Array) -> Iterator[bytes]:
         yield bytes(view[a:b])
 
 
+_BASE, PIECE = 0x9E3779B97F4A7C15, 1 << 20
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between spaces: a polynomial in its bytes, from differences of sums over the text, about PIECE bytes at a time."""
+    out, at = [], 0
+    while at < len(text):
+        end = text.find(b" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        b = np.frombuffer(text, np.uint8, end - at, at)
+        if len(_powers[0]) <= len(b):
+            for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                steps = np.full(len(b) + 1, base, np.uint64)
+                steps[0] = 1
+                _powers[i] = np.multiply.accumulate(steps)
+        shown = np.zeros(len(b) + 2, np.int8)
+        shown[1:-1] = b != 32
+        turns = np.diff(shown)
+        starts, ends = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(b)], out=sums[1:])
+        out.append(mixed((sums[ends] - sums[starts]) * _powers[1][starts]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it that a folder's URI or plain path names."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
@@ -132,5 +164,10 @@ def joined_small(big: DataFrame, small: DataFrame, key: str, spread: str) -> Dat
     return big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS))).join(parts, [key, salt]).drop(salt)
 
 
+def without(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of big whose keys a written table lacks: broadcast if that is SMALL, so that big isn't moved."""
+    return big.join(F.broadcast(small) if stored_bytes(small) <= SMALL else small, keys, "left_anti")
+
+
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()

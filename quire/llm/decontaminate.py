@@ -21,21 +21,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, joined_small, raw_texts, text_of, written
+from quire.llm.common import fresh, joined_small, mixed, raw_texts, text_of, word_hashes, written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a passage is a copy; words whose score is enough for a passage of a long item; words that must match (all, if the item has fewer); words of the least item.
 THRESHOLD, RUN, LEAST, N = 0.4, 40, 8, 3
-#: Bits of the table that a pass carries, at most; distinct pairs that a worker counts before it passes them on; bytes of a text hashed at once.
-BITS, HELD, PIECE = 1 << 28, 400_000, 1 << 20
+#: Bits of the table that a pass carries, at most; distinct pairs that a worker counts before it passes them on.
+BITS, HELD = 1 << 28, 400_000
 MATCHES = "array<struct<item_id:long,score:double,matched:int,start:int,end:int>>"
 _MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _SIGNS = re.compile(r"[\W_]+")
 #: Letters of scripts that write no spaces; each is a word.
 _UNSPACED = re.compile("([฀-໿ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿])")
-_BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse
 
 
 def plain(text: bytes) -> bytes:
@@ -49,41 +47,14 @@ def words_of(text: bytes) -> list[bytes]:
     return plain(text).split()
 
 
-def _grow(size: int) -> None:
-    if len(_powers[0]) < size:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 def hashes_of(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, from differences of sums over the text."""
-    whole, out, at = plain(text), [], 0
-    while at < len(whole):
-        end = whole.find(b" ", at + PIECE)
-        end = len(whole) if end < 0 else end
-        b = np.frombuffer(whole, np.uint8, end - at, at)
-        _grow(len(b) + 1)
-        shown = np.zeros(len(b) + 2, np.int8)
-        shown[1:-1] = b != 32
-        turns = np.diff(shown)
-        starts, ends = np.flatnonzero(turns > 0), np.flatnonzero(turns < 0)
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(b)], out=sums[1:])
-        out.append(_mixed((sums[ends] - sums[starts]) * _powers[1][starts]))
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    """A 64-bit hash of each word."""
+    return word_hashes(plain(text))
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
     """The hash of each pair of neighbouring words."""
-    return _mixed(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
+    return mixed(words[:-1] * np.uint64(0xD6E8FEB86659FD93) + words[1:])
 
 
 def least_score(n: int) -> float:

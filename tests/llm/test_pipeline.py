@@ -17,8 +17,12 @@ def test_stages_take_effect(spark):
     assert len(good - found["quality"]) < 0.03 * len(good) and len(bad & found["quality"]) < 0.05 * len(bad)
     mild = {i for i, m in marks.items() if m["toxic"] == 0}
     assert len(mild - found["toxicity"]) < 0.02 * len(mild)
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    assert found["near duplicates"] == set(groups.values())
+    first = {}
+    for r in simhash.similar(docs).collect():
+        first[r["component"]] = min(r["doc_id"], first.get(r["component"], r["doc_id"]))
+    assert found["near duplicates"] == set(first.values())
+    mean = {i for i, m in marks.items() if m["toxic"] == 1}
+    assert len(mean & found["toxicity"]) < 0.4 * len(mean)
     leaks = ids(decontaminate.contaminated(docs, spark.read.parquet(f"{sf}/benchmark.parquet")))
     assert leaks and found["benchmark"] == ids(docs) - leaks
     docs.unpersist()

@@ -60,11 +60,77 @@ def test_components_of_links(spark, monkeypatch, bits, longest):
     assert {i: got.get(i, i) for i, _ in rows} == expected
 
 
-def test_keeping_one_and_edge_cases(spark):
-    docs = spark.createDataFrame([(5, "a b c d", 1), (3, "A b c  d", 2), (3, "A b c  d", 2), (9, "quite another text", 3), (None, "a b c d", 4), (7, None, 5), (8, "", 6)], "doc_id long, text string, kept_id int")
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "9", "None"]
+def test_edge_cases_of_links(spark):
+    docs = spark.createDataFrame([(5, "a b c d", 1), (3, "A b c  d", 2), (3, "A b c  d", 2), (9, "quite another text", 3), (None, "a b c d", 4), (7, None, 5), (8, "", 6)], "doc_id long, text string, fp int")
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == 7 and sorted(str(r["component_id"]) for r in found) == ["3", "3", "3", "7", "7", "9", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keeping_one_and_edge_cases(spark):
+    rows = [(5, "a b c d", 1), (3, "A b c  d", 2), (3, "A b c  d", 2), (3, "of the same id but not like it", 3), (9, "quite another text", 3), (None, "a b c d", 4), (7, None, 5), (8, "", 6), (10, "x " * 50_000, 7), (11, "x " * 40_000, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_class int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text_class"]) for r in kept.collect()) == [("10", 7), ("3", 2), ("3", 3), ("7", 5), ("9", 3), ("None", 4)]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_similar_texts_against_all_pairs(spark):
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(30, 400))
+        for _ in range(rng.randint(1, 4)):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append(" ".join(text))
+    crowd = rng.choices(words, k=200)
+    rows += [" ".join(crowd[:i] + ["new"] + crowd[i + 1 :]) for i in range(0, 200, 2)]
+    rows += ["", "\t", "one two", "One  two", "three"]
+    sets = [shingles(t) for t in rows]
+    least, links, changed = list(range(len(rows))), 0, True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                if least[b] < least[a] and (10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+                    least[a], changed = least[b], True
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept >= set(least)  # no clean document goes
+    assert len(kept) - len(set(least)) <= 0.02 * (len(rows) - len(set(least)))
+
+
+def test_lists_over_batches(spark):
+    rng = random.Random(1)
+    rows = [(rng.randrange(40), i) for i in range(300)] + [(1000 + i, i) for i in range(50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {tuple(r) for r in simhash._lists(spark.createDataFrame(rows, "key long, node long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lists = {}
+    for k, v in rows:
+        lists.setdefault(k, []).append(v)
+    assert found == {(k, min(v), x) for k, v in lists.items() if len(v) > 1 for x in v}
+
+
+def test_sketches_agree_as_often_as_similar(spark):
+    """Keys shared by pairs of similarity 0.8: three bytes of bits that agree by 1 - angle / pi."""
+    import numpy as np
+
+    rng, shared = np.random.default_rng(3), []
+    for _ in range(200):
+        common = rng.integers(0, 1 << 63, 160, np.uint64)
+        a, b = (np.concatenate([common, rng.integers(0, 1 << 63, 20, np.uint64)]) for _ in range(2))  # 160 of 200
+        x, y = simhash.keys_of([a, b])
+        shared.append(int((x == y).sum()))
+    assert abs(np.mean(shared) - 6.6) < 0.8 and np.mean(np.array(shared) >= 2) > 0.97
