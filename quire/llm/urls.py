@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import text_of
+from quire.llm.url_table import ALLOWED, BLOCKED, SHAPES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
@@ -22,11 +23,6 @@ BUCKETS, SIZES = 4096, (3, 4)
 #: Rows that a training table may have; its Gram matrix has that many squared entries.
 MAX_ROWS = 2000
 
-#: The default labelled table: words of hosts and paths, put together by ``labelled_urls``.
-BLOCK_WORDS = ["adult", "porn", "xxx", "sex", "nude", "escort", "casino", "poker", "betting", "slots", "jackpot", "viagra", "pills", "cheap-meds", "warez", "crack", "torrent", "keygen", "phish", "malware", "spam", "clickbait", "loan", "payday", "replica", "hookup", "ads", "adserver", "tracker", "banner-farm"]
-ALLOW_WORDS = ["news", "library", "school", "museum", "university", "weather", "garden", "recipes", "science", "history", "docs", "forum", "blog", "wiki", "health", "sports", "travel", "music", "books", "code", "research", "archive", "city", "photos", "journal", "market", "therein", "another", "station", "nation", "eating", "handle", "north", "street", "water", "theatre", "motion", "thunder", "hearth", "father", "winter", "ration", "stable", "enable", "orange", "letter"]
-FORMS = ["https://{w}-x.example.com/en/1{n}", "http://www.{w}.example.org/de/2{n}.html", "https://m.{w}{n}.test/page?ref=x", "http://blog.some{w}.example.com/fr/3{n}#top", "https://site{n}.example.com/{w}/index.html"]
-
 
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without :// or for null."""
@@ -66,12 +62,11 @@ def features(host: Column, path: Column, buckets: int = BUCKETS, sizes=SIZES) ->
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The default training table (url, blocked 0/1)."""
-    def words(given: list[str], label: int) -> Column:
-        return F.transform(F.array(*map(F.lit, given)), lambda w, i: F.struct(w.alias("w"), i.cast("string").alias("n"), F.lit(label).alias("blocked")))
-
-    each = spark.range(1).select(F.explode(F.concat(words(BLOCK_WORDS, 1), words(ALLOW_WORDS, 0))).alias("r"))
-    shaped = each.select("r.*", F.explode(F.array(*map(F.lit, FORMS))).alias("form"))
-    return shaped.select(F.replace(F.replace("form", F.lit("{w}"), F.col("w")), F.lit("{n}"), F.col("n")).alias("url"), "blocked")
+    both = [F.struct(F.lit(u).alias("url"), F.lit(label).alias("blocked")) for urls, label in ((BLOCKED, 1), (ALLOWED, 0)) for u in urls.split()]
+    given = spark.range(1).select(F.explode(F.array(*both)).alias("r")).select("r.*")
+    host = F.regexp_replace(host_of(F.col("url")), "^www[.]", "")
+    shaped = F.transform(F.array(*map(F.lit, SHAPES.split())), lambda form: F.replace(form, F.lit("{host}"), host))
+    return given.select(F.explode(F.concat(F.array("url"), shaped)).alias("url"), "blocked")
 
 
 @dataclass(frozen=True)
@@ -131,8 +126,9 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, sizes=SIZES, steps: int =
 def judge_urls(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and log_odds in place of columns of those names.
 
-    verdict: that of the longest rule that fits, else block where the model's log-odds are over 0, else allow. A null
-    url, or one without ://, has empty host and path; the model judges it like any other.
+    verdict: that of the longest rule that fits, else block where the model's log-odds are over 0, else allow (so at just
+    0). A null url, or one without ://, has empty host and path; the model judges it like any other. Repeated rows are
+    kept; an empty table gives none; of a long URL every n-gram counts, once.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     split = pages.withColumns({"host": host, "path": path})
