@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from quire.llm.boosting import Trees, boost
 from quire.llm.common import raw_texts, text_of
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+BORDER = re.compile("[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+))")
+HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements whose content is no text of the page.
@@ -84,12 +86,94 @@ class Run:
         self.node, self.text, self.linked = node, text, linked
 
 
+class Marks:
+    """The comments and tags of a page, from left to right; what was read in vain is remembered, so all of them take time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quoted = page, page.rfind(">"), True
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag; one in a quoted value doesn't, as long as quotes lead to an end at all."""
+        here = at
+        while self.quoted:
+            found = BORDER.search(self.page, here)
+            if found is None:
+                self.quoted = False  # quotes swallow the rest of the page: from here on they are signs like others
+                break
+            i = found.start()
+            if self.page[i] == ">":
+                return i
+            before = i - 1
+            while before > at and self.page[before].isspace():
+                before -= 1
+            closing = self.page.find(self.page[i], i + 1) if self.page[before] == "=" else i
+            if closing < 0:
+                self.quoted = False
+                break
+            here = closing + 1
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, "/" of an end tag, name, attributes) of the first mark from a place on; the name of what is no tag is empty."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= len(page):
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", "", ""
+            if start > self.last:
+                return None
+            if found := NAME.match(page, start + 1):
+                end = self.tag_end(found.end())
+                return start, end + 1, found[1], found[2], page[found.end() : end]
+            if page[start + 1] in "!?/":
+                return start, page.find(">", start) + 1, "", "", ""
+            at = start + 1
+
+
+class Open:
+    """The open elements: names with the numbers of their nodes (-1 for those that are none), and for each name the places where it stands, so nothing is sought among them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+
+    def push(self, tag: str, node: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, node))
+        self.places.setdefault(tag, []).append(at)
+        if node >= 0:
+            self.blocks.append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+
+    def pop(self) -> tuple[str, int]:
+        tag, node = self.stack.pop()
+        at = len(self.stack)
+        for places in (self.places.get(tag), self.blocks, self.scopes):
+            if places and places[-1] == at:
+                places.pop()
+        return tag, node
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def forget(self, tag: str) -> None:
+        """The last open one of a name no longer is one."""
+        at = self.places[tag].pop()
+        self.stack[at] = ("", self.stack[at][1])
+
+
 def parse(page: str) -> tuple[list[Node], list[Run]]:
-    """The block nodes of a page, parents first, and its runs of text in order, with references decoded and white space as single spaces."""
+    """The block nodes of a page, parents first, and its runs of text in order, with references decoded and white space as single spaces. Time grows with the page alone, however broken."""
     nodes, runs = [Node("html", -1)], []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements; -1 for those that are no nodes
+    opened, marks = Open(), Marks(page)
     pieces: list[str] = []
-    linked, links, current, at, n = 0, 0, 0, 0, len(page)
+    linked, links, current, at, n, heads = 0, 0, 0, 0, len(page), True
 
     def flush() -> None:
         nonlocal linked
@@ -102,8 +186,8 @@ def parse(page: str) -> tuple[list[Node], list[Run]]:
 
     def pop(to: int) -> None:
         nonlocal current, links
-        while len(stack) > to:
-            tag, node = stack.pop()
+        while len(opened.stack) > to:
+            tag, node = opened.pop()
             links -= tag == "a"
             if node >= 0:
                 flush()
@@ -118,63 +202,52 @@ def parse(page: str) -> tuple[list[Node], list[Run]]:
             linked += len(text.strip())
 
     while at < n:
-        found = TAG.search(page, at)
+        found = marks.next(at)
         if found is None:
             say(page[at:])
             break
-        if found.start() > at:
-            say(page[at : found.start()])
-        at = found.end()
-        close, name, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
+        start, end, close, name, attributes = found
+        if start > at:
+            say(page[at:start])
+        at = end
         if not name:
             continue
         tag = name.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE and any(s >= 0 for _, s in stack[i + 1 :]):
-                        break  # an inline end does not close blocks; its start stays open
-                    pop(i)
-                    break
+            i = opened.last(tag)
+            if i and not (tag in INLINE and i < opened.blocks[-1]):  # an inline end does not close blocks; its start stays open
+                pop(i)
             continue
         if tag in INLINE:
             if tag == "br":
                 pieces.append(" ")
             elif tag not in VOID and not attributes.endswith("/"):
                 if tag == "a" and links:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == "a":
-                            del stack[i]
-                            links -= 1
-                            break
-                stack.append((tag, -1))
+                    opened.forget("a")
+                    links -= 1
+                opened.push(tag, -1)
                 links += tag == "a"
             continue
         if tag in RAW or tag in UNSEEN:
             if tag != "head":
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                inner, at = page[at : end.start() if end else n], end.end() if end else n
+                ending = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                inner, at = page[at : ending.start() if ending else n], ending.end() if ending else n
                 if tag not in UNSEEN:
                     say(inner)
                 continue
-            end = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
-            if end:
-                at = end.end() if end.group().startswith("</") else end.start()
+            ending = HEAD_END.search(page, at) if heads else None
+            if ending:
+                at = ending.end() if ending.group().startswith("</") else ending.start()
+            else:
+                heads = False
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    pop(i)
-                    break
-                if stack[i][1] >= 0:
-                    break
+            if opened.stack[opened.blocks[-1]][0] == "p":
+                pop(opened.blocks[-1])
         elif tag in SAME:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in SAME[tag]:
-                    pop(i)
-                    if tag not in ("tr", "tbody"):
-                        break
-                elif stack[i][0] in SCOPE:
+            while (i := max(opened.last(t) for t in SAME[tag])) > opened.scopes[-1]:
+                pop(i)
+                if tag not in ("tr", "tbody"):
                     break
         flush()
         if tag in VOID or attributes.endswith("/"):
@@ -182,7 +255,7 @@ def parse(page: str) -> tuple[list[Node], list[Run]]:
         nodes.append(Node(tag, current, attributes))
         nodes[current].children.append(len(nodes) - 1)
         current = len(nodes) - 1
-        stack.append((tag, current))
+        opened.push(tag, current)
     pop(1)
     flush()
     return nodes, runs
@@ -397,5 +470,9 @@ def main_text(column: Column, model: Trees | None = None, chunk: int = 4 << 20)
 
 
 def extract_pages(pages: DataFrame, model: Trees | None = None, html_column: str = "html") -> DataFrame:
-    """pages with text (the main text) and n_chars (its code points) in place of columns of those names. Repeated rows are kept; an empty table gives none."""
+    """pages with text (the main text) and n_chars (its code points) in place of columns of those names.
+
+    A null or empty page has an empty text; pages of any length are read whole, in time that grows with them alone;
+    repeated rows are kept; an empty table gives none.
+    """
     return pages.withColumn("text", main_text(F.col(html_column), model)).withColumn("n_chars", F.char_length("text").cast("long"))

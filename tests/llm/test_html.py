@@ -1,5 +1,8 @@
 import html as lib
 import re
+import time
+
+import pytest
 
 from quire.llm import html
 
@@ -52,3 +55,19 @@ def test_edges(spark):
     found = sorted((r["page_id"], r["n_chars"]) for r in html.extract_pages(pages).collect())
     assert found == [(1, 0), (2, 0), (2, 0), (3, 2 + 60_000 * 5 - 1)]
     assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ['<a "x ', "<a ", "<div><b></i>", "<b><div></b>", "<head>", '<a b="x>', "<i><hr>", "<li><i>", "<a><p>", '<p x="\'> ', "<!", "<script>x", "&amp;<", "<tr><td><table>", "<div " + "x" * 50 + ">"])
+def test_broken_pages_take_linear_time(shape):
+    page = shape * (1_000_000 // len(shape))
+    began = time.time()
+    nodes, runs = html.parse(page)
+    assert time.time() - began < 15 and len(nodes) >= 1
+
+
+def test_quotes_and_broken_tags():
+    text = lambda page: " / ".join(r.text for r in html.parse(page)[1])
+    assert text('<p title="a>b">x</p><p title=\'c>d\'>y') == "x / y"
+    assert text('<p "q>x</p>y') == "x / y" and text('<p a="b>x<p>y') == "x / y"
+    assert text("1 < 2 <b>and</b> 3 > 2") == "1 < 2 and 3 > 2" and text("<p>a<!-- b --> c<!-- d") == "a c"
+    assert text("<b><p>a</b>b</p>c") == "ab / c" and text("<ul><li>a<li>b</ul>c") == "a / b / c"
