@@ -12,12 +12,11 @@ from __future__ import annotations
 import functools
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +27,6 @@ CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
 ASCII_WORDS = re.compile(rf"{CLITICS}|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: The same classes for texts up to U+00FF, where lower-casing and composition stay within that range.
 LATIN_WORDS = re.compile(rf"{CLITICS}|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
-WORDS = regex.compile(rf"{CLITICS}|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}]+")
 #: Distinct words and pairs that a worker remembers, and characters of texts that it handles at once.
 WORD_CACHE, PAIR_CACHE, CHUNK, LONG = 150_000, 500_000, 2_000_000, 200
 
@@ -53,12 +51,14 @@ class TrieBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
+        known = tokenizers.Tokenizer.from_file(path)
+        self.normaliser, self.splitter = known.normalizer, known.pre_tokenizer
         self.end = model["end_of_word_suffix"]
         if not self.end or model["dropout"] or model["ignore_merges"] or model["continuing_subword_prefix"]:
             raise ValueError("only plain BPE with word ends is known here")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab: dict[str, int] = model["vocab"]
-        letters = byte_letters()
+        self.letters = letters = byte_letters()
 
         def held(token: str) -> str:
             ends = token.endswith(self.end)
@@ -193,19 +193,16 @@ class TrieBpe:
                 out += self._words(piece)
         return out
 
-    @staticmethod
-    def _words(text: str) -> list[str]:
+    def _words(self, text: str) -> list[str]:
+        """The words of a text without special tokens. Beyond U+00FF the tokenizer's own normaliser and splitter say what is a letter, and how it is composed and lower-cased."""
         if text.isascii():
             return ASCII_WORDS.findall(text.lower())
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            pass
-        else:
-            return LATIN_WORDS.findall(text.lower())
-        text = unicodedata.normalize("NFC", text)
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return WORDS.findall(text)
+            letters = self.letters
+            return [bytes([letters[c] for c in w]).decode() for w, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(text))]
+        return LATIN_WORDS.findall(text.lower())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers.
@@ -257,7 +254,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decode:
     """docs with ids (binary: little-endian unsigned 32-bit integers) and, if asked for, decoded (their text).
 
     Columns of docs of these names are replaced. A null text counts as empty and has no ids and an empty decoded
-    text; texts are encoded whole; repeated rows are kept; an empty table gives none.
+    text; texts are encoded whole, however long, about CHUNK bytes at a time or one; repeated rows are kept; an empty
+    table gives none.
     """
     path = path or default_path()
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]

@@ -25,6 +25,16 @@ def test_equal_to_the_library(both):
         assert mine.decode(ids).decode() == library.decode(expected, skip_special_tokens=False)
 
 
+def test_every_letter_of_the_first_planes(both):
+    """Each code point between letters, alone and before a mark: classes, case and composition are the library's."""
+    mine, library = both
+    letters = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(letters), 2000):
+        texts = [f"xA{c}b {c} {c}\u0301" for c in letters[at : at + 2000]]
+        expected = library.encode_batch(texts, add_special_tokens=False)
+        assert [list(array("I", i)) for i in mine.encode_batch(texts)] == [e.ids for e in expected]
+
+
 def test_every_token_of_the_vocabulary_and_forgetting(both, monkeypatch):
     mine, library = both
     monkeypatch.setattr(bpe, "WORD_CACHE", 50)
