@@ -19,7 +19,7 @@ from quire.llm.url_table import ALLOWED, BLOCKED, SHAPES
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-BUCKETS, SIZES = 4096, (3, 4)
+BUCKETS, SIZES = 16_384, (3, 4, 5)
 #: Rows that a training table may have; its Gram matrix has that many squared entries.
 MAX_ROWS = 2000
 
