@@ -226,7 +226,7 @@ https://thetravellingreader.com/trains/orient
 https://veteransmemoir.org/letters/home
 https://edinburghreview.net/criticism/novels
 """
-#: Shapes that hosts of either kind have; each host of the table stands in all of them, so that they say nothing by themselves.
+#: Shapes that hosts of either kind have; each host of the table is also dealt one of them, so that they say nothing by themselves.
 SHAPES = """
 https://www.{host}/en/1204.html
 http://m.{host}/fr/77?utm_source=feed

@@ -65,8 +65,9 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     both = [F.struct(F.lit(u).alias("url"), F.lit(label).alias("blocked")) for urls, label in ((BLOCKED, 1), (ALLOWED, 0)) for u in urls.split()]
     given = spark.range(1).select(F.explode(F.array(*both)).alias("r")).select("r.*")
     host = F.regexp_replace(host_of(F.col("url")), "^www[.]", "")
-    shaped = F.transform(F.array(*map(F.lit, SHAPES.split())), lambda form: F.replace(form, F.lit("{host}"), host))
-    return given.select(F.explode(F.concat(F.array("url"), shaped)).alias("url"), "blocked")
+    forms = SHAPES.split()
+    form = F.get(F.array(*map(F.lit, forms)), F.pmod(F.xxhash64(host), F.lit(len(forms))).cast("int"))
+    return given.select(F.explode(F.array("url", F.replace(form, F.lit("{host}"), host))).alias("url"), "blocked")
 
 
 @dataclass(frozen=True)
