@@ -89,3 +89,11 @@ def test_near_copies_are_told_apart(spark):
     among = [q for q in expected if q < 1200]
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in among)
     assert hits / (5 * len(among)) >= 0.9
+
+
+def test_planes_do_not_grow_with_the_table():
+    import numpy as np
+
+    sample = np.random.default_rng(0).standard_normal((4096, 8))
+    sizes = {n: sum(a.size + b.size + c.size for a, b, c in ann.planes(sample, n, np.random.default_rng(1))) for n in (10_000, 10**6, 10**9)}
+    assert sizes[10**9] - sizes[10**6] == ann.TREES * 10 * 8 and sizes[10**9] < 20_000
