@@ -92,14 +92,19 @@ def fit(x: np.ndarray, y: np.ndarray, pooled: float = POOLED, ridge: float = RID
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(text, y) of at most ``sample`` labelled rows outside the held fold: those whose ids have the least hashes.
 
-    An id with labels that differ takes the larger; of rows that share an id, each counts. Null ids, labels and those
-    other than 0 and 1 are left out.
+    An id with labels that differ takes the larger; of rows that share an id, that with the least text counts. Null ids,
+    labels and those other than 0 and 1 are left out.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("__y"))
     marks = marks.filter((remainder("__id", folds) != held) & F.col("__y").isin(0, 1)).groupBy("__id").agg(F.max("__y").alias("__y"))
     chosen = marks.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    return texts_of(docs, chosen, doc_id, text).select("text", F.col("__y").alias("y"))
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """chosen, a bounded table with the column __id, with the least text of each id that docs has; only rows of these ids move."""
     there = docs.select(F.col(doc_id).cast("long").alias("__id"), text_of(text).alias("__text"))
-    return there.join(F.broadcast(chosen), "__id").select(F.col("__text").alias("text"), F.col("__y").alias("y"))  # sample bounds what is broadcast
+    return there.join(F.broadcast(chosen), "__id").groupBy(*chosen.columns).agg(F.min("__text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, sample: int = SAMPLE, **names) -> Discriminant:
@@ -121,12 +126,16 @@ def score(text: Column, model: Discriminant) -> Column:
 
 
 def classify(docs: DataFrame, model: Discriminant, folds: int = 3, held: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row; a null id is in no fold."""
+    """(doc_id, held_out, score, predicted) of each row of docs, repeated ones too.
+
+    A null id is in no fold; a null text is an empty one, which is scored like any other; texts are scored whole, however
+    long; scores of just one half are label 1; an empty table gives no rows; other columns aren't read.
+    """
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), score(F.col(text), model).alias("score"))
     return scored.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, model: Discriminant, text: str = "text") -> DataFrame:
-    """docs without rows that score under one half; columns stay as they are."""
+    """docs without rows that score under one half; columns stay as they are, whatever their names. Null and empty texts are scored like any other; repeated rows share their fate."""
     name = fresh(docs.columns, "quality_score")
     return docs.withColumn(name, score(F.col(text), model)).filter(F.col(name) >= 0.5).drop(name)

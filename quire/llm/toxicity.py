@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import fresh, raw_texts, remainder, text_of, written
-from quire.llm.quality import training_rows
+from quire.llm.quality import texts_of, training_rows
 
 LEXICON = [
     "idiot", "moron", "imbecile", "stupid", "dumbass", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "filthy",
@@ -259,8 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     def vote(texts: pa.Array) -> pa.Array:
         return pa.array([voters(t.decode("utf-8", "replace")) for t in raw_texts(texts)], pa.list_(pa.int32()))
 
-    there = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(text).alias("text")).filter(remainder("id", folds) != held)
-    others = there.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(unlabelled).select("text", F.lit(None).cast("int").alias("y"))
+    ids = docs.select(F.col(doc_id).cast("long").alias("__id")).filter(F.col("__id").isNotNull() & (remainder("__id", folds) != held)).distinct()
+    others = texts_of(docs, ids.orderBy(F.xxhash64("__id"), "__id").limit(unlabelled), doc_id, text).select("text", F.lit(None).cast("int").alias("y"))
     found = rows.select("text", "y").unionByName(others).select(vote("text").alias("v"), "y").collect()
     patterns = Counter((tuple(r["v"]), r["y"]) for r in found) or Counter({((voters.lacks,), None): 1})
     full = np.zeros((len(patterns), voters.size + 2))  # the last two: a label says toxic, or clean
