@@ -4,11 +4,13 @@ The pairs of neighbouring words of all items are one table. A first pass counts
 in none can lead nowhere and go. A copy that differs from an item of n words by replaced or left-out words, and still
 scores enough, shares ``guaranteed(n)`` of its pairs, so the item's commonest pairs but for one less than that many are
 not needed: the rest are its seeds, of which every such copy holds at least ``least_seeds(n)``. A second pass looks for
-seeds; only documents that hold some are written, joined with the items, and aligned where enough seeds lie near one
-diagonal. (Copies made by words put in between almost all others share no pair and aren't found.)
+seeds; their places, without the texts, are joined with the items. Rows where enough seeds lie near one diagonal of an
+item are written by a third pass, and aligned there. (Copies made by words put in between almost all others share no
+pair and aren't found.)
 
-Both passes carry a bit table of at most ``BITS`` bits, whatever the size of the benchmark; what it lets through by
-chance falls out of the join. Documents are never shuffled but those with seeds.
+All passes carry a bit table of at most ``BITS`` bits, whatever the size of the benchmark and of the corpus; what it
+lets through by chance falls out of the join. Texts are never shuffled but those of such rows. A row is known by a hash
+of its text, so each text is judged once, however many rows have it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, joined_small, mixed, raw_texts, text_of, word_hashes, written
+from quire.llm.common import fresh, joined_small, mixed, raw_texts, text_of, without, word_hashes, written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a passage is a copy; words whose score is enough for a passage of a long item; words that must match (all, if the item has fewer); words of the least item.
@@ -236,14 +238,27 @@ def seeds_in(text: Column, known: Bits) -> Column:
     return found(text)
 
 
-def _aligned(hits: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
-    """(row, m): the copies in each of hits (row, text, seeds), by items joined on seeds."""
+def _row(text: str) -> Column:
+    return F.xxhash64(text_of(text))
+
+
+def wanted_spans(found: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
+    """(row, wanted): the items, with the spans of the text, that each row of found (row, p, pair) may hold a copy of."""
 
     @F.arrow_udf("array<struct<low:int,high:int>>")
     def spans(places: pa.Array, n: pa.Array, need: pa.Array) -> pa.Array:
         found = [spans_of([(x["p"], x["q"]) for x in pq], *s) for pq, *s in zip(places.to_pylist(), n.to_pylist(), need.to_pylist())]
         return pa.array([[{"low": a, "high": b} for a, b in s] for s in found], pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))
 
+    placed = joined_small(found, seeds, "pair", "row").groupBy("row", "item", "n", "need").agg(F.collect_set(F.struct("p", "q")).alias("pq"))
+    several = placed.filter(F.size("pq") >= F.col("need"))
+    near = written(several.select("row", "item", spans("pq", "n", "need").alias("spans")), "spans").filter(F.size("spans") > 0)
+    return written(joined_small(near, items, "item", "row").groupBy("row").agg(F.collect_list(F.struct("item_id", "words", "spans")).alias("wanted")), "wanted")
+
+
+def aligned(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, m): the copies in those of rows (row, text) that have wanted items."""
+
     @F.arrow_udf(MATCHES)
     def matches(texts: pa.Array, wanted: pa.Array) -> pa.Array:
         out = []
@@ -261,26 +276,26 @@ def _aligned(hits: DataFrame, seeds: DataFrame, items: DataFrame) -> DataFrame:
             out.append(found)
         return pa.array(out, _MATCHES)
 
-    each = hits.select("row", F.explode("seeds").alias("s")).select("row", "s.p", "s.pair")
-    placed = joined_small(each, seeds, "pair", "row").groupBy("row", "item", "n", "need").agg(F.collect_list(F.struct("p", "q")).alias("pq"))
-    near = placed.filter(F.size("pq") >= F.col("need")).select("row", "item", spans("pq", "n", "need").alias("spans")).filter(F.size("spans") > 0)
-    wanted = joined_small(near, items, "item", "row").groupBy("row").agg(F.collect_list(F.struct("item_id", "words", "spans")).alias("wanted"))
-    return hits.select("row", "text").join(wanted, "row").select("row", matches("text", "wanted").alias("m")).filter(F.size("m") > 0)
+    each = rows.dropDuplicates(["row"]).join(wanted, "row").select("row", matches("text", "wanted").alias("m"))
+    return written(each, "copies").filter(F.size("m") > 0)
 
 
-def _index(docs: DataFrame, benchmark: DataFrame, text: str, **names) -> tuple[DataFrame, DataFrame, Bits]:
-    """(items, seeds, the bit table of the seeds' pairs), chosen by counts over all of docs."""
+def candidates(docs: DataFrame, benchmark: DataFrame, text: str, **names) -> tuple[DataFrame, Bits]:
+    """(row, wanted) of the rows of docs that may hold copies, by counts over all of docs; and a bit table of these rows."""
     items = items_of(benchmark, **names)
     pairs = pair_table(items)
     seeds = choose_seeds(pairs, frequencies(docs, text, Bits.of(pairs.select("pair").distinct(), "pair")))
-    return items, seeds, Bits.of(seeds.select("pair").distinct(), "pair")
+    found = docs.select(_row(text).alias("row"), F.explode(seeds_in(text_of(text), Bits.of(seeds.select("pair").distinct(), "pair"))).alias("s")).select("row", "s.p", "s.pair")
+    wanted = wanted_spans(found, seeds, items)
+    return wanted, Bits.of(wanted.select("row"), "row")
+
 
+def _may(row: Column, known: Bits) -> Column:
+    @F.arrow_udf("boolean")
+    def there(rows: pa.Array) -> pa.Array:
+        return pa.array(known.has(rows.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-def _hits(docs: DataFrame, text: str, known: Bits) -> tuple[DataFrame, str, str]:
-    """The rows of docs that hold seeds, written down with a number and their seeds; the names of these two columns."""
-    row, found = fresh(docs.columns, "row_number"), fresh(docs.columns, "found_seeds")
-    held = docs.withColumn(found, seeds_in(text_of(text), known)).filter(F.size(found) > 0)
-    return written(held.withColumn(row, F.monotonically_increasing_id()), "hits"), row, found
+    return there(row)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
@@ -293,19 +308,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     repeated rows of docs are each reported; a null doc_id is reported as null; other columns aren't read; an empty
     table on either side gives no rows.
     """
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items, seeds, known = _index(given, benchmark, "text", **names)
-    hits, row, found = _hits(given, "text", known)
-    hits = hits.select("doc_id", text_of("text").alias("text"), F.col(row).alias("row"), F.col(found).alias("seeds"))
-    copies = _aligned(hits, seeds, items)
-    return hits.select("row", "doc_id").join(copies, "row").select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+    wanted, known = candidates(docs, benchmark, text, **names)
+    copies = aligned(docs.select(text_of(text).alias("text"), _row(text).alias("row")).filter(_may(F.col("row"), known)), wanted)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _row(text).alias("row")).filter(_may(F.col("row"), known))
+    return joined_small(rows, copies, "row", "doc_id").select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
-    """docs without rows that hold a copy of an item; columns stay as they are. Cases are as in ``contaminated``; rows without seeds are never moved."""
-    items, seeds, known = _index(docs, benchmark, text, **names)
-    hits, row, found = _hits(docs, text, known)
-    copies = _aligned(hits.select(F.col(row).alias("row"), text_of(text).alias("text"), F.col(found).alias("seeds")), seeds, items)
-    gone = written(copies.select(F.col("row").alias(row)), "gone")
-    cleared = hits.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.filter(F.size(seeds_in(text_of(text), known)) == 0).unionByName(cleared)
+    """docs without rows that hold a copy of an item; columns stay as they are. Cases are as in ``contaminated``; only texts that may hold a copy are moved."""
+    wanted, known = candidates(docs, benchmark, text, **names)
+    copies = aligned(docs.select(text_of(text).alias("text"), _row(text).alias("row")).filter(_may(F.col("row"), known)), wanted)
+    name = fresh(docs.columns, "text_hash")
+    gone = written(copies.select(F.col("row").alias(name)), "gone")
+    left = without(docs.withColumn(name, _row(text)), gone, [name])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -117,7 +117,7 @@ def test_words_and_their_hashes():
 def test_repeats_ties_and_clashing_names(spark):
     item = "one two three four five six seven eight nine ten"
     rows = [(1, f"x {item} y {item}", 5, 6), (1, f"x {item} y {item}", 5, 6), (2, "one two six seven x y z", 1, 1), (3, None, 2, 2), (4, "", 2, 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, row_number int, found_seeds int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int, row int")
     items = spark.createDataFrame([(1, item), (1, item), (2, item.upper()), (3, "ten nine"), (None, "five five five five")], "item_id long, text string")
     found = sorted(tuple(r) for r in d.contaminated(docs, items).collect())
     assert found == [(1, 1, 1.0, 10, 1, 11)] * 2 + [(1, 2, 1.0, 10, 1, 11)] * 2
