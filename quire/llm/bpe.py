@@ -28,7 +28,7 @@ ASCII_WORDS = re.compile(rf"{CLITICS}|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: The same classes for texts up to U+00FF, where lower-casing and composition stay within that range.
 LATIN_WORDS = re.compile(rf"{CLITICS}|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 #: Distinct words and pairs that a worker remembers, and characters of texts that it handles at once.
-WORD_CACHE, PAIR_CACHE, CHUNK, LONG = 150_000, 500_000, 2_000_000, 200
+WORD_CACHE, PAIR_CACHE, CHUNK, LONG = 100_000, 300_000, 2_000_000, 200
 
 
 def default_path() -> str:
@@ -51,7 +51,8 @@ class TrieBpe:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
-        known = tokenizers.Tokenizer.from_file(path)
+        bare = spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
+        known = tokenizers.Tokenizer.from_str(json.dumps(bare))
         self.normaliser, self.splitter = known.normalizer, known.pre_tokenizer
         self.end = model["end_of_word_suffix"]
         if not self.end or model["dropout"] or model["ignore_merges"] or model["continuing_subword_prefix"]:
@@ -228,6 +229,10 @@ class TrieBpe:
                 del young[w]
         return out
 
+    def forget(self) -> None:
+        """Gives up what is remembered, so that a worker that goes on to other work holds only the vocabulary."""
+        self.young, self.old, self.pairs = {}, {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, in UTF-8: this tokenizer has no decoder, so its tokens stand apart by a space."""
         return b" ".join(map(self.shown.__getitem__, array("I", ids)))
@@ -272,6 +277,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decode:
                 if decode:
                     columns.append(pa.array([bpe.decode(i).decode() for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:at], "ids", *["decoded"] * decode])
+        bpe.forget()
 
     schema = given.drop(name).schema.add("ids", "binary")
     return given.mapInArrow(run, schema.add("decoded", "string") if decode else schema)
