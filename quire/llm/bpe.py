@@ -20,7 +20,7 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, raw_texts
+from quire.llm.common import fresh, raw_texts, release
 
 #: Fixed values of the tokenizer: suffixes that stand alone, as its pattern has them.
 CLITICS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -229,10 +229,6 @@ class TrieBpe:
                 del young[w]
         return out
 
-    def forget(self) -> None:
-        """Gives up what is remembered, so that a worker that goes on to other work holds only the vocabulary."""
-        self.young, self.old, self.pairs = {}, {}, {}
-
     def decode(self, ids: bytes) -> bytes:
         """The text of ids, in UTF-8: this tokenizer has no decoder, so its tokens stand apart by a space."""
         return b" ".join(map(self.shown.__getitem__, array("I", ids)))
@@ -277,7 +273,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decode:
                 if decode:
                     columns.append(pa.array([bpe.decode(i).decode() for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:at], "ids", *["decoded"] * decode])
-        bpe.forget()
+        del bpe
+        tokenizer.cache_clear()  # a worker that goes on to other work holds nothing of it
+        release()
 
     schema = given.drop(name).schema.add("ids", "binary")
     return given.mapInArrow(run, schema.add("decoded", "string") if decode else schema)

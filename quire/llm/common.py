@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -141,6 +142,14 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def release() -> None:
+    """Gives memory that this worker no longer uses back to the system; Arrow's and the C library's allocators keep it else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and the path in it that a folder's URI or plain path names."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, joined_small, mixed, raw_texts, text_of, without, word_hashes, written
+from quire.llm.common import fresh, joined_small, mixed, raw_texts, release, text_of, without, word_hashes, written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a passage is a copy; words whose score is enough for a passage of a long item; words that must match (all, if the item has fewer); words of the least item.
@@ -232,6 +232,7 @@ def seeds_in(text: Column, known: Bits) -> Column:
             counts.append(counts[-1] + len(at))
         places = np.concatenate([p for p, _ in rows]) if rows else np.zeros(0)
         values = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.uint64)
+        release()
         struct = pa.StructArray.from_arrays([pa.array(places, pa.int32()), pa.array(values.view(np.int64))], ["p", "pair"])
         return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), struct)
 

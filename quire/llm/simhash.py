@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import fresh, has_rows, joined_small, mixed, raw_texts, stored_bytes, text_of, without, word_hashes, written
+from quire.llm.common import fresh, has_rows, joined_small, mixed, raw_texts, release, stored_bytes, text_of, without, word_hashes, written
 from quire.llm.components import connected_components
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -203,6 +203,7 @@ def _classes(text: Column, keys: bool) -> Column:
                 out()
         out()
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values).astype(np.uint64).view(np.int64) if values else np.zeros(0, np.int64)))
+        release()
         return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), lists], ["node", "v"])
 
     return made(text)
