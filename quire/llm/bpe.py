@@ -53,11 +53,12 @@ class TrieBpe:
         model = spec["model"]
         bare = spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}
         known = tokenizers.Tokenizer.from_str(json.dumps(bare))
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        del spec, bare
         self.normaliser, self.splitter = known.normalizer, known.pre_tokenizer
         self.end = model["end_of_word_suffix"]
         if not self.end or model["dropout"] or model["ignore_merges"] or model["continuing_subword_prefix"]:
             raise ValueError("only plain BPE with word ends is known here")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab: dict[str, int] = model["vocab"]
         self.letters = letters = byte_letters()
 
@@ -264,6 +265,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", decode:
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bpe = tokenizer(path)
         for batch in batches:
             at = batch.num_columns - 1
