@@ -28,7 +28,7 @@ ASCII_WORDS = re.compile(rf"{CLITICS}|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 #: The same classes for texts up to U+00FF, where lower-casing and composition stay within that range.
 LATIN_WORDS = re.compile(rf"{CLITICS}|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 #: Distinct words and pairs that a worker remembers, and characters of texts that it handles at once.
-WORD_CACHE, PAIR_CACHE, CHUNK, LONG = 100_000, 300_000, 2_000_000, 200
+WORD_CACHE, PAIR_CACHE, CHUNK, LONG = 40_000, 100_000, 1_000_000, 200
 
 
 def default_path() -> str:
