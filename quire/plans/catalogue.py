@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.functions import sequences, text
-from quire.operators import detection, documents, joins, kernels, layout, metrics, sampling, search, windows
+from quire.operators import detection, documents, filters, joins, kernels, layout, metrics, sampling, search, windows
 from quire.plans import relations as rel
 from quire.plans.base import ORACLE, QUERIES, query
 from quire.plans.relations import AREA_A, AREA_B, CENTRE, HULL, INTER, IOU, TOUCH, fold_sql, with_sql
@@ -691,3 +691,102 @@ def bilingual_merge(spark, d):
     rows = rel.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.col("text"), ((F.col("turn") % 4) / 4).alias("score"))
     other = rows.filter("line_no % 3 <> 0").withColumn("text", F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("سلام "), F.col("text"))).otherwise(F.col("text")))
     return layout.merge_bilingual(other.withColumn("score", F.lit(0.4)), rows)
+
+
+# Filters and cuts
+
+
+@query(with_sql("boxes") + "SELECT page_id, box_id, score FROM boxes WHERE score >= 0.75")
+def score_filter(spark, d):
+    return filters.by_score(rel.boxes(spark, d), 0.75).select("page_id", "box_id", "score")
+
+
+@query(with_sql("boxes") + """, c AS (SELECT page_id, box_id, CAST(trunc(least(greatest(x0 - 20, 0.0), 799.0)) AS BIGINT) x0, CAST(trunc(least(greatest(y0 - 10, 0.0), 999.0)) AS BIGINT) y0,
+CAST(trunc(least(greatest(x1 - 20, 0.0), 799.0)) AS BIGINT) x1, CAST(trunc(least(greatest(y1 - 10, 0.0), 999.0)) AS BIGINT) y1 FROM boxes) SELECT * FROM c WHERE x1 - x0 > 3 AND y1 - y0 > 3""")
+def clipped_boxes(spark, d):
+    moved = rel.boxes(spark, d).withColumns({"x0": F.col("x0") - 20, "x1": F.col("x1") - 20, "y0": F.col("y0") - 10, "y1": F.col("y1") - 10})
+    return filters.clipped(moved, 800, 1000).select("page_id", "box_id", "x0", "y0", "x1", "y1")
+
+
+@query(with_sql("boxes", "cells") + "SELECT b.page_id, b.box_id FROM boxes b JOIN (SELECT page_id, min(y0) t FROM cells WHERE box_id >= 10 + page_id % 20 GROUP BY page_id) c USING (page_id) WHERE b.y1 >= c.t")
+def above_table(spark, d):
+    return filters.not_above(rel.boxes(spark, d), rel.cells(spark, d).filter("box_id >= 10 + page_id % 20")).select("page_id", "box_id")
+
+
+@query("SELECT doc_id, lang, CAST(list_position(['en', 'de', 'fr'], lang) - 1 AS BIGINT) AS class FROM documents WHERE list_position(['en', 'de', 'fr'], lang) > 0")
+def class_label(spark, d):
+    return rel.read(spark, d, "documents").select("doc_id", "lang", filters.class_index(F.col("lang"), ["en", "de", "fr"]).alias("class")).filter("class is not null")
+
+
+@query(with_sql("boxes") + """, a AS (SELECT * FROM boxes WHERE score > 0.62 QUALIFY row_number() OVER (PARTITION BY page_id, label ORDER BY score DESC, box_id) <= 8)
+SELECT page_id, box_id, label, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, box_id) AS INTEGER) AS rank FROM a QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, box_id) <= 15""")
+def candidate_topk(spark, d):
+    return filters.top_candidates(rel.boxes(spark, d), 8, 15, 0.62).select("page_id", "box_id", "label", "rank")
+
+
+@query(with_sql("boxes") + "SELECT page_id, box_id FROM boxes QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY box_id) <= 10")
+def contour_cap(spark, d):
+    return filters.first_of_page(rel.boxes(spark, d), 10).select("page_id", "box_id")
+
+
+@query(with_sql("boxes") + "SELECT page_id, box_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y0, box_id) AS INTEGER) AS place FROM boxes")
+def top_order(spark, d):
+    return filters.by_top(rel.boxes(spark, d)).select("page_id", "box_id", "place")
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) s FROM embeddings) SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS BIGINT) AS class, round(list_max(s), 6) AS score FROM e""")
+def cls_decode(spark, d):
+    best, score = filters.best_class(F.col("embedding").cast("array<double>"))
+    return rel.read(spark, d, "embeddings").select("vec_id", best.alias("class"), F.round(score, 6).alias("score"))
+
+
+@query(with_sql("boxes") + """, s AS (SELECT box_id, CAST((x1 - x0) * 12 AS BIGINT) w, CAST((y1 - y0) * 7 AS BIGINT) h FROM boxes)
+SELECT box_id, CAST(ceil(w / 16) * 16 AS BIGINT) AS wide, CAST(ceil(h / 16) * 16 AS BIGINT) AS high FROM s WHERE w BETWEEN 32 AND 672 AND h BETWEEN 32 AND 192""")
+def formula_buckets(spark, d):
+    wide, high = filters.formula_bucket(((F.col("x1") - F.col("x0")) * 12).cast("long"), ((F.col("y1") - F.col("y0")) * 7).cast("long"))
+    return rel.boxes(spark, d).select("box_id", wide.alias("wide"), high.alias("high")).filter("wide is not null")
+
+
+@query(with_sql("boxes") + """SELECT box_id, CAST(CAST(x0 AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y0 AS BIGINT) AS VARCHAR) || ';' || CAST(CAST(x1 AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y0 AS BIGINT) AS VARCHAR) || ';'
+|| CAST(CAST(x1 AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y1 AS BIGINT) AS VARCHAR) || ';' || CAST(CAST(x0 AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(y1 AS BIGINT) AS VARCHAR) AS points, text || ', ' || label AS text FROM boxes""")
+def csv_labels(spark, d):
+    number = lambda c: F.concat(F.lit('"'), F.col(c).cast("long").cast("string"), F.lit('"'))
+    line = F.concat(F.lit("﻿"), F.concat_ws(", ", *map(number, ("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1"))), F.lit(', "'), F.col("text"), F.lit(", "), F.col("label"), F.lit('"'))
+    points, found = filters.csv_label(line)
+    return rel.boxes(spark, d).select("box_id", F.array_join(F.transform(points, lambda p: F.array_join(p.cast("array<string>"), " ")), ";").alias("points"), found.alias("text"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, CASE WHEN event_id % 3 > 0 THEN 8 + CAST(floor(value) AS BIGINT) % 6 END AS size FROM events), c AS (SELECT user_id, size, count(size) n, min(event_id) f FROM r GROUP BY user_id, size)
+SELECT user_id, coalesce(size, 16) AS size FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY size IS NULL, n DESC, f) = 1""")
+def body_font_size(spark, d):
+    rows = rel.read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 3 > 0, 8 + F.floor("value") % 6).alias("size"))
+    return filters.body_size(rows, "user_id", "event_id", "size")
+
+
+# Further encoders
+
+
+_ATTENTION, _CTC = _encode_sql("attention"), _encode_sql("ctc")
+
+
+@query(f"SELECT doc_id, line_no, piece, CASE WHEN len(string_split(ids, ',')) = 25 THEN ids END AS ids FROM ({_ATTENTION})")
+def encode_rfl(spark, d):
+    """As for attention, but only sequences of the full length stay."""
+    ids = sequences.encode(F.lower("bit"), sequences.ENCODERS["attention"])
+    return rel.bits(spark, d).select("doc_id", "line_no", "piece", F.array_join(F.when(F.size(ids) == 25, ids).cast("array<string>"), ",").alias("ids"))
+
+
+@query(f"SELECT doc_id, line_no, piece, array_to_string(list_transform(range(37), lambda i: len(list_filter(string_split(ids, ','), lambda x: x = CAST(i AS VARCHAR)))), ',') AS counts FROM ({_CTC}) WHERE ids IS NOT NULL")
+def ctc_histogram(spark, d):
+    """How often each number stands in the padded sequence, fills included."""
+    ids = rel.bits(spark, d).select("doc_id", "line_no", "piece", sequences.encode(F.lower("bit"), sequences.ENCODERS["ctc"]).alias("ids")).filter("ids is not null")
+    return ids.select("doc_id", "line_no", "piece", F.array_join(sequences.histogram(F.col("ids"), 37).cast("array<string>"), ",").alias("counts"))
+
+
+@query(with_sql("pairs") + """, m AS (SELECT unnest(['clean', 'misread']) AS model, target, found FROM pairs), p AS (SELECT model, lower(regexp_replace(target, '[^0-9A-Za-z]', '', 'g')) a, lower(regexp_replace(CASE WHEN model = 'clean' THEN target ELSE found END, '[^0-9A-Za-z]', '', 'g')) b FROM m)
+SELECT model, count(*) n, CAST(sum(CASE WHEN a = b THEN 1 ELSE 0 END) AS BIGINT) matches, round(sum(CASE WHEN a = b THEN 1 ELSE 0 END) / (count(*) + 1e-5), 6) acc,
+round(1 - sum(CASE WHEN greatest(length(a), length(b)) > 0 THEN levenshtein(a, b) / greatest(length(a), length(b)) ELSE 0.0 END) / (count(*) + 1e-5), 6) norm_edit_dis FROM p GROUP BY model""")
+def multi_model(spark, d):
+    """One metric for each model's results."""
+    rows = rel.pairs(spark, d).withColumn("model", F.explode(F.array(F.lit("clean"), F.lit("misread"))))
+    return metrics.recognition(rows.withColumn("found", F.when(F.col("model") == "clean", F.col("target")).otherwise(F.col("found"))), ["model"], "target", "found")
