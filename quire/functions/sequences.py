@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +57,11 @@ ENCODERS = {
 }
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is computed once, however often then names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def numbers(text: Column, encoder: Encoder, limit: int = 25, characters: str = CHARACTERS, lower: bool = False) -> Column:
     """A text's characters as numbers; null where it is empty, longer than limit (both before anything is left out), or nothing is left."""
     known = encoder.dictionary(characters)
@@ -67,24 +75,39 @@ def numbers(text: Column, encoder: Encoder, limit: int = 25, characters: str = C
     fits = F.length(text) > 0
     if encoder.checks:
         fits = fits & (F.length(text) <= limit)
-    return F.when(fits & (F.size(found) > 0), found)
+    return F.when(fits, once(found, lambda n: F.when(F.size(n) > 0, n)))
 
 
 def encode(text: Column, encoder: Encoder, limit: int = 25, characters: str = CHARACTERS, lower: bool = False) -> Column:
     """The padded sequence; null for texts that are dropped."""
     found = numbers(text, encoder, limit, characters, lower)
-    if encoder.checks:
-        found = F.when(F.size(found) <= limit - encoder.room, found)
     around = [F.array(F.lit(encoder.number(t, characters))) for t in (encoder.start, encoder.end) if t]
-    whole = F.concat(*([around[0]] if encoder.start else []), found, *(around[-1:] if encoder.end else []))
-    size = limit + encoder.extra
-    padded = F.concat(whole, F.array_repeat(F.lit(encoder.number(encoder.pad, characters)), F.greatest(F.lit(0), size - F.size(whole))))
-    return F.slice(padded, 1, size) if encoder.cut else padded
+    size, pad = limit + encoder.extra, F.lit(encoder.number(encoder.pad, characters))
+
+    def padded(found: Column) -> Column:
+        if encoder.checks:
+            found = F.when(F.size(found) <= limit - encoder.room, found)
+        return once(F.concat(*([around[0]] if encoder.start else []), found, *(around[-1:] if encoder.end else [])), lambda whole: F.concat(whole, F.array_repeat(pad, F.greatest(F.lit(0), size - F.size(whole)))))
+
+    whole = once(found, padded)
+    return F.slice(whole, 1, size) if encoder.cut else whole
 
 
 def histogram(sequence: Column, size: int) -> Column:
-    """How often each number from 0 up to size stands in a sequence, fills included."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(sequence, lambda n: n == i)))
+    """How often each number from 0 up to size stands in a sequence, fills included; null for a null sequence."""
+
+    @F.arrow_udf("array<int>")
+    def counted(sequences: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(sequences)), sequences.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        values = sequences.flatten()
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        rows, found = rows[there], values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        fits = (found >= 0) & (found < size)
+        counts = np.bincount(rows[fits] * size + found[fits], minlength=len(sequences) * size)
+        offsets = pa.array(np.arange(len(sequences) + 1) * size, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()), mask=sequences.is_null())
+
+    return counted(sequence)
 
 
 @dataclass(frozen=True)

@@ -779,7 +779,9 @@ def encode_rfl(spark, d):
 @query(f"SELECT doc_id, line_no, piece, array_to_string(list_transform(range(37), lambda i: len(list_filter(string_split(ids, ','), lambda x: x = CAST(i AS VARCHAR)))), ',') AS counts FROM ({_CTC}) WHERE ids IS NOT NULL")
 def ctc_histogram(spark, d):
     """How often each number stands in the padded sequence, fills included."""
-    ids = rel.bits(spark, d).select("doc_id", "line_no", "piece", sequences.encode(F.lower("bit"), sequences.ENCODERS["ctc"]).alias("ids")).filter("ids is not null")
+    # Null sequences go by explode: a filter would be pushed down with a second encoding.
+    encoded = F.array_compact(F.array(sequences.encode(F.lower("bit"), sequences.ENCODERS["ctc"])))
+    ids = rel.bits(spark, d).select("doc_id", "line_no", "piece", F.explode(encoded).alias("ids"))
     return ids.select("doc_id", "line_no", "piece", F.array_join(sequences.histogram(F.col("ids"), 37).cast("array<string>"), ",").alias("counts"))
 
 

@@ -154,6 +154,16 @@ def test_registry(spark):
     assert sorted(r["n"] for r in registry.predict(df, Stub, "n long").collect()) == [2, 4]
 
 
+@pytest.mark.parametrize("name", sorted(sequences.ENCODERS))
+def test_encoders_look_characters_up_once(name):
+    assert str(sequences.encode(F.col("t"), sequences.ENCODERS[name])).count("split(") == 1
+
+
+def test_histogram_of_nulls_and_strangers(spark):
+    rows = spark.createDataFrame([(0, [1, None, 9, -1, 1]), (1, None), (2, []), (3, [2])], "i int, s array<int>").coalesce(1)
+    assert [r["v"] for r in rows.orderBy("i").select(sequences.histogram(F.col("s"), 3).alias("v")).collect()] == [[0, 2, 0], None, [0, 0, 0], [0, 0, 1]]
+
+
 def test_jobs(spark, sf, tmp_path):
     from quire.streaming import jobs
 
