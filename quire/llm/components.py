@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import superseded, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen["n"] == 0 or tuple(seen) == state:
             break
         state = tuple(seen)
-        now = written(_small_star(_large_star(now).filter("u <> v").distinct()), "edges")
+        last, now = now, written(_small_star(_large_star(now).filter("u <> v").distinct()), "edges")
+        superseded(last)
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -97,3 +97,22 @@ def test_planes_do_not_grow_with_the_table():
     sample = np.random.default_rng(0).standard_normal((4096, 8))
     sizes = {n: sum(a.size + b.size + c.size for a, b, c in ann.planes(sample, n, np.random.default_rng(1))) for n in (10_000, 10**6, 10**9)}
     assert sizes[10**9] - sizes[10**6] == ann.TREES * 10 * 8 and sizes[10**9] < 20_000
+
+
+def test_rounds_leave_one_table_each(spark, monkeypatch):
+    """Graphs, searches and components keep the last round's table alone."""
+    import os
+
+    from quire.llm import common, components
+
+    made = []
+    scratch = common.scratch
+    monkeypatch.setattr(common, "scratch", lambda s, tag: made.append((tag, scratch(s, tag))) or made[-1][1])
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((300, 8)))]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, width=20)
+    assert found.count() == 30
+    components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")).count()
+    left = [tag for tag, path in made if os.path.exists(path.removeprefix("file:"))]
+    assert sum(tag == "search" for tag, _ in made) > 2 and sum(tag == "edges" for tag, _ in made) > 3
+    assert left.count("graph") == left.count("search") == 1 and left.count("edges") == 2  # the search's and the components'
