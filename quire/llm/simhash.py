@@ -16,6 +16,9 @@ bits on average, which leaves no byte that they are sure to share, so its finger
 8,192 bits, the signs of as many random projections of the text's shingles. The index keys three byte positions at once
 (341 keys), of which such a pair shares 6.6 on average. Shared keys are tallied; pairs with at least two, as 99 in 100
 pairs at just 0.8 have and 9,999 in 10,000 at 0.85, go on, and chance pairs don't; the exact similarity verifies them.
+Texts that share much but less than 0.8 have long lists, and their pairs grow with the square of their number. Classes
+that lists of more than CROWD members connect are compared all with all, by a block's inverted index in place; what
+leaves is a forest of links. Only lists of CROWD members or fewer form pairs as rows.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +45,8 @@ SHARED = 6
 #: Of similar texts: words of a shingle, per cent of all shingles that are shared, bits of a fingerprint (a square of 128 by 64), byte positions of a key, shared keys of a pair, texts sketched at once.
 SHINGLE, PERCENT = 5, 80
 ROWS, COLUMNS, KEY_BYTES, TALLY, BATCH = 128, 64, 3, 2, 64
+#: Members of a list beyond which they are a crowd; members and shingles of a crowd's block.
+CROWD, MEMBERS, HELD = 16, 1024, 1 << 20
 _SPACES = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
 
 
@@ -234,41 +240,99 @@ def _lists(filed: DataFrame) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, head long, node long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those pairs (u, v) of classes whose shingles are similar enough, with the sets of rows (text)."""
-    wanted = written(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "wanted")
+def _sets(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, s): the sets of shingles of the wanted classes (node), from rows (text)."""
+    wanted = written(wanted.distinct(), "wanted")
     sets = rows.select(_classes(F.col("text"), keys=False).alias("s")).select("s.node", F.col("s.v").alias("s"))
     sets = sets.join(F.broadcast(wanted) if stored_bytes(wanted) <= 32 << 20 else wanted, "node", "left_semi")
-    sets = written(sets.groupBy("node").agg(F.first("s").alias("s")), "shingles")
+    return written(sets.groupBy("node").agg(F.first("s").alias("s")), "shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (u, v) of classes whose shingles are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
     return both.withColumn("n", shared).filter(100 * F.col("n") >= PERCENT * (F.size("a") + F.size("b") - F.col("n"))).select("u", "v")
 
 
+def forest_of(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (u, v), fewer than nodes, that connect what all similar pairs of a place in left with one in right connect.
+
+    The shingles of the right are an inverted index, from which the shared ones of a left set with every right set are
+    counted at once; pairs that are connected already make no edge.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    words, word = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+    posted = np.repeat(np.arange(len(right)), sizes[right])[np.argsort(word, kind="stable")]
+    ends = np.cumsum(np.bincount(word, minlength=len(words)))
+    starts = np.r_[0, ends[:-1]]
+    label, edges = np.arange(len(sets)), []
+    for i in left:
+        if (label[right] == label[i]).all():
+            continue
+        at = np.minimum(np.searchsorted(words, sets[i]), len(words) - 1)
+        at = at[words[at] == sets[i]]
+        n = ends[at] - starts[at]
+        lists = posted[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(lists, minlength=len(right))
+        like = right[100 * shared >= PERCENT * (sizes[i] + sizes[right] - shared)]
+        labels, first = np.unique(label[like], return_index=True)
+        joined = labels != label[i]
+        edges += [(int(nodes[i]), int(nodes[like[j]])) for j in first[joined]]
+        label[np.isin(label, labels[joined])] = label[i]
+    return edges
+
+
+def _crowd_edges(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v) that connect what the similar pairs of each crowd (node, component) connect.
+
+    A crowd's sets are dealt into blocks of bounded size, and each two blocks are compared in one place, so a crowd of
+    one block moves each set once and gives fewer edges than it has members, however many of its pairs are similar.
+    """
+    there = crowds.join(sets, "node").select("component", "node", "s")
+    blocks = written(there.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum(F.size("s")) / HELD)).alias("blocks")), "blocks")
+    dealt = joined_small(there, blocks, "component", "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = dealt.select("component", "node", "s", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "s")
+
+    def compared(table: pa.Table) -> pa.Table:
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        lists, block = table["s"].combine_chunks(), table["block"].to_numpy()
+        values, at = lists.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        edges = forest_of(table["node"].to_numpy(), [values[a:b] for a, b in zip(at, at[1:])], left, right) if len(left) and len(right) else []
+        release()
+        return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
+
+    return dealt.groupBy("component", "low", "high").applyInArrow(compared, "u long, v long")
+
+
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, node, copies, component) of each distinct id and set of shingles (node, a hash of it): how many rows have both, and the least node that links lead to.
 
     Links: shingles of SHINGLE words with a Jaccard similarity of PERCENT or more. A text of fewer words is one shingle;
     texts without words are one class, linked to no other; a null text is an empty one. Rows with a null id take no
-    part; an empty table gives no rows. Texts are read whole. Members of a list are compared with its head first, then
-    those that this left in different components with each other, so a group of copies costs pairs in proportion to it.
+    part; an empty table gives no rows. Texts are read whole. Classes that lists of more than CROWD members connect are
+    a crowd, whose members are all compared with each other in place, so that no pair of them is a row.
     """
     rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     prints = written(rows.select("doc_id", _classes(F.col("text"), keys=True).alias("c")).select("doc_id", "c.node", F.col("c.v").alias("keys")), "sketches")
     reps = prints.groupBy("node").agg(F.first("keys").alias("keys"))
     filed = reps.select("node", F.posexplode("keys").alias("p", "k")).select((F.col("p").cast("long") * (1 << 8 * KEY_BYTES) + F.col("k")).alias("key"), "node")
     lists = written(_lists(filed), "lists")
-    counted = lambda pairs: pairs.groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= TALLY).select("u", "v")
-    first = written(counted(lists.filter("head <> node").select(F.col("head").alias("u"), F.col("node").alias("v"))), "pairs")
-    edges = written(_verified(first, rows), "edges")
-    found = connected_components(edges)
-    marked = lists.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    long_lists = written(lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "long")
+    crowds = written(connected_components(lists.join(long_lists, "key").select(F.col("head").alias("u"), F.col("node").alias("v"))), "crowds")
+    marked = lists.join(crowds, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     mixed_lists = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     open_ = written(marked.join(mixed_lists, "key"), "open")
     a, b = open_.select("key", F.col("node").alias("u"), F.col("c").alias("cu")), open_.select("key", F.col("node").alias("v"), F.col("c").alias("cv"))
-    rest = written(counted(a.join(b, "key").filter("u < v and cu <> cv").select("u", "v")), "pairs").join(first, ["u", "v"], "left_anti")
-    if has_rows(rest):
-        found = connected_components(edges.unionByName(_verified(written(rest, "pairs"), rows)))
+    tallied = a.join(b, "key").filter("u < v and cu <> cv").groupBy("u", "v").agg(F.count("*").alias("n"))
+    pairs = written(tallied.filter(F.col("n") >= TALLY).select("u", "v"), "pairs")
+    sets = _sets(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).unionByName(crowds.select("node")), rows)
+    edges = _verified(pairs, sets)
+    if has_rows(crowds):
+        edges = edges.unionByName(_crowd_edges(crowds, sets))
+    found = connected_components(edges)
     each = prints.groupBy("doc_id", "node").agg(F.count("*").alias("copies"))
     return each.join(found, "node", "left").select("doc_id", "node", "copies", F.coalesce("component", "node").alias("component"))
 

@@ -109,6 +109,64 @@ def test_similar_texts_against_all_pairs(spark):
     assert len(kept) - len(set(least)) <= 0.02 * (len(rows) - len(set(least)))
 
 
+def linked(sets, pairs):
+    """The least place that links of the pairs lead to, for each place."""
+    least, changed = list(range(len(sets))), True
+    links = [(a, b) for a, b in pairs if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in links:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    return least
+
+
+@pytest.mark.parametrize("members", [1024, 40])
+def test_crowds_form_no_pairs(spark, monkeypatch, members):
+    """Texts that share much, though most of them less than 0.8: rows of pairs in proportion to them, and every link."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rng, words = random.Random(7), [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=150)
+    texts = []
+    for n in range(150):
+        text = list(base)
+        for at in rng.sample(range(150), 1 + n % 5):
+            text[at] = rng.choice(words)
+        texts.append(" ".join(text))
+    texts += [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    sets, rows, write = [shingles(t) for t in texts], {}, simhash.written
+
+    def counted(df, tag):
+        out = write(df, tag)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    found = {r["doc_id"]: r["component"] for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert rows["crowds"] >= 100 and rows["pairs"] <= 4 * len(texts)
+    groups = {}
+    for i, c in found.items():
+        groups.setdefault(c, []).append(i)
+    expected = linked(sets, [(a, b) for a in range(len(sets)) for b in range(a)])
+    assert {i: min(g) for g in groups.values() for i in g} == dict(enumerate(expected))
+    assert 30 < len(set(expected)) < 150
+
+
+def test_forest_against_all_pairs():
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(40):
+        sets = [frozenset(rng.sample(range(12), rng.randint(1, 12))) for _ in range(rng.randint(2, 25))]
+        arrays = [np.array(sorted(s), np.uint64) for s in sets]
+        cut = rng.randint(1, len(sets) - 1)
+        for left, right in ((range(len(sets)),) * 2, (range(cut), range(cut, len(sets)))):
+            edges = simhash.forest_of(np.arange(len(sets)), arrays, np.array(left), np.array(right))
+            assert len(edges) < len(sets) and all(10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) for a, b in edges)
+            assert linked(sets, edges) == linked(sets, [(a, b) for a in left for b in right])
+
+
 def test_lists_over_batches(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(40), i) for i in range(300)] + [(1000 + i, i) for i in range(50)]
