@@ -47,6 +47,8 @@ SHINGLE, PERCENT = 5, 80
 ROWS, COLUMNS, KEY_BYTES, TALLY, BATCH = 128, 64, 3, 2, 64
 #: Members of a list beyond which they are a crowd; members and shingles of a crowd's block.
 CROWD, MEMBERS, HELD = 16, 1024, 1 << 20
+#: Bytes up to which crowds and keys of lists are broadcast to the lists.
+CROWDS_MOVED, KEYS_MOVED = 8 << 20, 1 << 20
 _SPACES = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
 
 
@@ -322,9 +324,10 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     lists = written(_lists(filed), "lists")
     long_lists = written(lists.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD).select("key"), "long")
     crowds = written(connected_components(lists.join(long_lists, "key").select(F.col("head").alias("u"), F.col("node").alias("v"))), "crowds")
-    marked = lists.join(crowds, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    mixed_lists = marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    open_ = written(marked.join(mixed_lists, "key"), "open")
+    small = lambda df, most: F.broadcast(df) if stored_bytes(df) <= most else df  # noqa: E731  so that lists aren't moved again
+    marked = lists.join(small(crowds, CROWDS_MOVED), "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    mixed_lists = written(marked.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"), "mixed")
+    open_ = written(marked.join(small(mixed_lists, KEYS_MOVED), "key"), "open")
     a, b = open_.select("key", F.col("node").alias("u"), F.col("c").alias("cu")), open_.select("key", F.col("node").alias("v"), F.col("c").alias("cv"))
     tallied = a.join(b, "key").filter("u < v and cu <> cv").groupBy("u", "v").agg(F.count("*").alias("n"))
     pairs = written(tallied.filter(F.col("n") >= TALLY).select("u", "v"), "pairs")
