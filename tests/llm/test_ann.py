@@ -116,3 +116,34 @@ def test_rounds_leave_one_table_each(spark, monkeypatch):
     left = [tag for tag, path in made if os.path.exists(path.removeprefix("file:"))]
     assert sum(tag == "search" for tag, _ in made) > 2 and sum(tag == "edges" for tag, _ in made) > 3
     assert left.count("graph") == left.count("search") == 1 and left.count("edges") == 2  # the search's and the components'
+
+
+def test_slices_bound_what_is_moved_and_find_as_much(spark, monkeypatch):
+    """A step that would move more than MOVED bytes and half the table is done in slices; results stay whole, and a slice leaves no table of its own but its results."""
+    import os
+
+    from quire.llm import common
+
+    made, steps = [], []
+    scratch, descend, start = common.scratch, ann.descend, ann.start
+    monkeypatch.setattr(common, "scratch", lambda s, tag: made.append((tag, scratch(s, tag))) or made[-1][1])
+    monkeypatch.setattr(ann, "descend", lambda *a: steps.append(a[2:]) or descend(*a))
+    monkeypatch.setattr(ann, "start", lambda *a: steps.append(a[2:]) or start(*a))
+    monkeypatch.setattr(ann, "slices_for", lambda moved, held: 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(rng.standard_normal((700, 12)).astype(np.float32))]
+    got, expected = found(spark, rows + rows[:60]), brute([r[:2] for r in rows])
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in expected)
+    assert got.keys() == expected.keys() and hits / (5 * len(expected)) >= 0.9
+    assert all(len(g) == 5 for g in got.values())
+    assert steps[:3] == [(range(0, 2),), (range(2, 4),), (range(4, 6),)] and steps[3:6] == [(3, 0), (3, 1), (3, 2)]
+    left = [tag for tag, path in made if os.path.exists(path.removeprefix("file:"))]
+    assert left.count("graph") == 1 and left.count("search") == 0 and left.count("near") == 3
+
+
+def test_slices_follow_the_table():
+    """However large the table, no step moves more than half of it at once."""
+    for count in (10_000, 10**6, 10**8):
+        moved = count * (ann.K + ann.BACK) * 272
+        assert moved / ann.slices_for(moved, count * 272) <= max(ann.MOVED, count * 136)
+    assert ann.slices_for(10**6, 10**5) == 1
